@@ -149,7 +149,7 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-# Words: runs of letters and digits, in lower case where ASCII. -------------------------------------------------
+# Words: runs of letters and digits, in lower case where Latin-1. -------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -161,6 +161,9 @@ _WORD[128:] = True
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, starts, lengths, words per text). Bytes above 127 count as letters."""
     low = _LOWER[buf]
+    after = np.flatnonzero(buf[:-1] == 0xC3) + 1  # capital letters of Latin-1
+    after = after[(buf[after] >= 0x80) & (buf[after] <= 0x9E) & (buf[after] != 0x97)]
+    low[after] += 32
     inside = _WORD[low]
     inside[-PAD:] = False
     edge = np.empty(len(inside), bool)
