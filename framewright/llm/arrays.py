@@ -144,7 +144,7 @@ def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive segments of the given lengths, 0 for empty ones."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import packing, sharding, token_counts, toxicity
+from framewright.llm import packing, sharding, simhash, token_counts, toxicity
 from framewright.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op5_toxicity, op7_packing, op9_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_token_counts, op5_toxicity, op7_packing, op9_sharding)}
 
 #: The other operators have no SQL form that is exact or quick on whole tables; tests/llm holds them to brute force.
 ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.shard_sql()}
