@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import packing, sharding, simhash, token_counts, toxicity
+from framewright.llm import packing, sharding, simhash, substrings, token_counts, toxicity
 from framewright.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.duplicate_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_token_counts, op5_toxicity, op7_packing, op9_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_token_counts, op5_toxicity, op6_substrings, op7_packing, op9_sharding)}
 
 #: The other operators have no SQL form that is exact or quick on whole tables; tests/llm holds them to brute force.
 ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.shard_sql()}
