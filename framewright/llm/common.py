@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.storage import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +18,12 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Rows whose partitions are the same however often a task is run again: those of a plain scan, else a written copy."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Arrow", "Python", "Pandas", "rand(")) else materialise(df, "settled")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
