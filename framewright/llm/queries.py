@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import lm, packing, sentencepieces, sharding, simhash, substrings, token_counts, toxicity
+from framewright.llm import ann, forest, lm, packing, sentencepieces, sharding, simhash, substrings, token_counts, toxicity
 from framewright.llm.common import table
 
 
@@ -38,11 +38,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_lm_scoring, op4_token_counts, op5_toxicity, op6_substrings, op7_packing, op9_sharding)}
+def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_lm_scoring, op4_token_counts, op5_toxicity, op6_substrings, op7_packing, op8_neighbours, op9_sharding, op10_embedding_duplicates)}
 
 #: The other operators have no SQL form that is exact or quick on whole tables; tests/llm holds them to brute force.
 ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.shard_sql()}
