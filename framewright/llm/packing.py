@@ -26,6 +26,7 @@ from framewright.llm.pieces import DEFAULT_RANKS, bpe_cache, byte_bpe
 from framewright.storage import materialise
 
 WINDOW = 2048
+BROADCAST_PARTS = 1_000_000  # partitions up to which their offsets, 16 bytes each, are broadcast; beyond, the chunks are joined
 _CHUNK = "part int, start long, n long, doc_ids array<bigint>, doc_tokens array<int>, tokens binary, head binary, tail binary"
 _OUT = "window_id long, n_tokens int, tokens array<int>, pieces array<struct<doc_id:bigint,window_start:int,doc_start:int,length:int>>"
 _PIECE = pa.struct([("doc_id", pa.int64()), ("window_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])
@@ -143,11 +144,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         raise ValueError("window must be positive")
     _, end = byte_bpe(ranks_path)
     kind = "<u2" if end < 1 << 16 else "<i4"
-    chunks = materialise(texts(df, id_col, text_col).mapInArrow(_tokenise(ranks_path, end, window, kind), _CHUNK), "chunks")
+    docs = texts(df, id_col, text_col)
+    few = docs.rdd.getNumPartitions() <= BROADCAST_PARTS
+    chunks = materialise(docs.mapInArrow(_tokenise(ranks_path, end, window, kind), _CHUNK), "chunks")
     # One row a partition of the input: the second pass's prefix sum.
     totals = chunks.groupBy("part").agg(F.sum("n").alias("total"))
     bases = totals.select("part", (F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
-    placed = chunks.join(bases, "part").withColumn("offset", F.col("base") + F.col("start"))
+    placed = chunks.join(F.broadcast(bases) if few else bases, "part").withColumn("offset", F.col("base") + F.col("start"))
     whole = placed.select("offset", "n", "doc_ids", "doc_tokens", "tokens").mapInArrow(_cut(window, kind), _OUT)
     ends = placed.select("offset", "n", "doc_ids", "doc_tokens", "head", "tail").mapInArrow(_ends(window, kind), _FRAGMENT)
     return whole.unionByName(ends.groupBy("window_id").applyInArrow(_stitch(kind), _OUT))
