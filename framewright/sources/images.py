@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.frame import with_positions
@@ -85,8 +85,12 @@ def read_header(raw: bytes | None) -> tuple[int, int, str] | None:
     return (found[0], found[1], kind) if found and min(found) > 0 else None
 
 
-@F.pandas_udf(_HEADER)
-def header(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def header(content: str) -> Column:
+    """What the headers in a column of contents say, as a struct; null fields where they are no images."""
+    return F.pandas_udf(_headers, _HEADER)(content)
+
+
+def _headers(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in content:
         yield pd.DataFrame([read_header(x) or (None, None, None) for x in part], columns=["width", "height", "format"]).astype({"width": "Int32", "height": "Int32"})
 
