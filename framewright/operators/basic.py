@@ -166,12 +166,7 @@ class MapCaption(Operator):
         dataset = prop(dataset, "caption", "string")
         function = self.function
         if self.rows:
-            import pandas as pd
-
-            @F.pandas_udf(T.StringType())
-            def mapped(captions: pd.Series) -> pd.Series:
-                return captions.map(lambda c: function(c) if c else c)
-
+            mapped = F.pandas_udf(lambda captions: captions.map(lambda c: function(c) if c else c), T.StringType(), F.PandasUDFType.SCALAR)
             new = mapped("caption")
         else:
             new = function(F.col("caption"))

@@ -1,6 +1,6 @@
 """The memo store: a table of results by key and domain.
 
-Entries are only ever appended, in files partitioned by scope; a reader takes the last entry of each (key, domain), so a
+Entries are only ever appended, each put in a folder of its own partitioned by scope; a reader takes the last entry of each (key, domain), so a
 put replaces, also where the domain is null. ``present`` tells a memoised null from a result that there is not.
 Looking up is a left join, working out what lacks an anti join.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,17 +64,27 @@ class MemoStore:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
+    def _parts(self) -> list[str]:
+        """The folders of all puts. They are read by their names: Spark takes scans of one path for equal whatever was added."""
+        if not self._exists():
+            return []
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+        return sorted(x.getPath().toString() for x in found if x.isDirectory() and x.getPath().getName().startswith("put="))
+
+    def _new_part(self) -> str:
+        return f"{self.path}/put={uuid.uuid4().hex}"
+
     def entries(self) -> DataFrame:
         """All entries in force."""
-        if not self._exists():
-            return self.spark.createDataFrame([], SCHEMA)
-        return latest(self.spark.read.schema(SCHEMA).parquet(self.path))
+        parts = self._parts()
+        return latest(self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*parts)) if parts else self.spark.createDataFrame([], SCHEMA)
 
     def put(self, rows: DataFrame) -> None:
         """Append rows (key, domain, value); the last to be put counts. Null values are kept as such."""
         scope = F.regexp_extract("key", r"^([^(]*)", 1)
         now = rows.select(scope.alias("scope"), "key", F.col("domain").cast("string").alias("domain"), F.col("value").isNotNull().alias("present"), F.col("value").cast("string").alias("value"), F.current_timestamp().alias("updated_at"))
-        now.write.mode("append").partitionBy("scope").parquet(self.path)
+        now.write.partitionBy("scope").parquet(self._new_part())
 
     def put_one(self, key: str, value: str | None, domain: str | None = None) -> None:
         self.put(self.spark.createDataFrame([(key, domain, value)], "key string, domain string, value string"))
@@ -108,18 +119,17 @@ class MemoStore:
         self._rewrite(self.entries())
 
     def _rewrite(self, rows: DataFrame) -> None:
-        fresh = f"{self.path}-new"
-        rows.write.mode("overwrite").partitionBy("scope").parquet(fresh)
-        self.drop()
-        paths = [self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, self.path)]
-        paths[0].getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths)
+        old = self._parts()
+        rows.write.partitionBy("scope").parquet(self._new_part())
+        for part in old:
+            remove(self.spark, part)
 
     def import_from(self, other: MemoStore, pattern: str = "*", domain: str | None = None) -> int:
         """Take another store's matching entries; they replace ours."""
         rows = other.list(pattern, domain)
         n = rows.count()
         if n:
-            rows.select("scope", "key", "domain", "present", "value", F.current_timestamp().alias("updated_at")).write.mode("append").partitionBy("scope").parquet(self.path)
+            rows.select("scope", "key", "domain", "present", "value", F.current_timestamp().alias("updated_at")).write.partitionBy("scope").parquet(self._new_part())
         return n
 
     def drop(self) -> bool:
