@@ -6,8 +6,8 @@ each n-gram once to the shard of its context. A shard adds up, keeps what was se
 levels of its part of the trie to the shared folder: contexts, monotone pointers to the begin of each context's
 successors, and the successors, numbered relative to their context, all three as Elias-Fano sequences; probabilities and
 back-off weights are quantised to a byte. It maps the levels into memory and answers each chunk's n-grams by successor
-search. The answers, two bytes for most n-grams, go back to the chunks, whose texts wait in the shared folder as places in
-their list of n-grams. No text is shuffled, no part of the model is broadcast, and no n-gram goes uncounted.
+search. The answers, two bytes for most n-grams, go back to the chunks, whose texts wait in the shared folder as numbers of
+their words. No text is shuffled, no part of the model is broadcast, and no n-gram goes uncounted.
 
 Smoothing: interpolated absolute discounting. p(w | u v) = share(w | u v) + rest(u v) * p(w | v), share being
 (count - D) / count of the context for n-grams that are kept, and rest what the kept ones leave. A text is scored among
@@ -16,8 +16,8 @@ its own corpus, so an n-gram seen only once says nothing about it and is not kep
 Defined results: case, punctuation and white space do not count. A null text has a null score and count, one without
 words a null score and a count of 0. The score is the natural logarithm of the probability of all words and the text's end;
 ``perplexity`` is its inverse geometric mean. Every row gives one row, repeated ones too; null ids are kept; other columns are
-not looked at. An empty table gives no rows; under a corpus without words every score is null. Words are told apart by 64-bit hashes, contexts by 48 bits of theirs and
-successors of one context by 32.
+not looked at. An empty table gives no rows; under a corpus without words every score
+is null. Words are told apart by 64-bit hashes, contexts by 48 bits of theirs and successors of one context by 32.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from framewright.storage import materialise, new_path
 
 DISCOUNT = 0.75
 KEEP = 2
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 SHARE_STEP, REST_STEP = 7.0, 16.0  # codes a factor of two
 _BEGIN, _END = 0, 1
 _MARKS = np.array([0x9E6C63D0876A9A99, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
@@ -78,15 +78,20 @@ def mapped(path: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), np.uint8)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers by planes of their bytes, so that the shuffle's compression finds the zeros."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def unplaned(raw, kind: str) -> np.ndarray:
-    flat = np.frombuffer(raw, np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
+def packed(x: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, compressed: entropy coding finds what few values a plane has."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return struct.pack("<q", len(raw)) + _ZSTD.compress(raw, asbytes=True)
+
+
+def unpacked(blob: pa.Scalar, kind: str) -> np.ndarray:
+    raw = blob.as_buffer()
+    (size,) = struct.unpack("<q", raw.slice(0, 8).to_pybytes())
+    flat = np.frombuffer(_ZSTD.decompress(raw.slice(8), size), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 # Counting --------------------------------------------------------------------------------------------------------
@@ -131,11 +136,20 @@ def bucket_of(contexts: np.ndarray, buckets: int) -> np.ndarray:
     return (((contexts >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, the most frequent first, the number of each word)."""
+    vocabulary, ids, n = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return vocabulary[order], rank[ids]
+
+
 class Ngrams:
     """A chunk's n-grams in the order in which they are sent and answered: by level, context and successor."""
 
-    def __init__(self, h: np.ndarray, counts: np.ndarray, inverse: bool = True):
-        vocabulary, ids = np.unique(h, return_inverse=True)
+    def __init__(self, vocabulary: np.ndarray, ids: np.ndarray, counts: np.ndarray, inverse: bool):
+        """vocabulary: hashes of distinct words; ids: of all texts' words one after the other."""
         n_texts = int((counts > 0).sum())
         seq, at = sequence(ids + 2, counts)
         a, b, c, n, *back = distinct(seq, at, len(vocabulary) + 2, inverse)
@@ -186,7 +200,7 @@ class Ngrams:
                 s, e = cuts[k], cuts[k + 1]
                 a, z = (ends[s], ends[e]) if level > 1 else (s, e)
                 deltas = np.diff(contexts[s:e], prepend=np.uint64(0))
-                blobs = planes(deltas), planes(fans[s:e].astype("<u4")), planes(successors[a:z]), planes((counts[a:z] if counted else np.zeros(z - a)).astype("<u4"))
+                blobs = packed(deltas), packed(fans[s:e].astype("<u4")), packed(successors[a:z]), packed((counts[a:z] if counted else np.zeros(z - a)).astype("<u4"))
                 for name, value in zip(out, (k, level, chunk, *blobs), strict=True):
                     out[name].append(value)
 
@@ -198,7 +212,7 @@ class Ngrams:
 
 
 def _count(folder: str, buckets: int, scored: bool, counted: bool, chunk_words: int):
-    """Chunks' n-grams; a chunk that is to be scored leaves its texts, as places of n-grams, in the shared folder."""
+    """Chunks' n-grams; a chunk that is to be scored leaves its texts, as numbers of words, in the shared folder."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -209,17 +223,18 @@ def _count(folder: str, buckets: int, scored: bool, counted: bool, chunk_words:
             nonlocal k, size
             h, counts = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             chunk = (part << 24) | k if scored else -1
-            grams = Ngrams(h, counts, scored)
+            vocabulary, ids = numbered(h)
             if scored:
                 text = {"ids": pa.chunked_array([x[2] for x in held]), "counts": pa.array(counts), "null": pa.array(np.concatenate([x[3] for x in held]))}
+                blob = {"vocabulary": pa.array([vocabulary.astype("<u8").tobytes()], pa.large_binary()), "words": pa.array([packed(ids.astype("<u4"))], pa.large_binary())}
                 sink = pa.BufferOutputStream()
-                blob = {name: pa.array([planes(x.astype("<u4"))], pa.large_binary()) for name, x in (("first", grams.first), ("second", grams.second), ("third", grams.third))}
                 for table in (pa.table(text), pa.table(blob)):
                     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                         w.write_table(table)
                 write_bytes(f"{folder}/texts/{chunk}", sink.getvalue().to_pybytes())
-            yield from grams.rows(chunk, buckets, counted)
             held.clear()
+            del h
+            yield from Ngrams(vocabulary, ids, counts, False).rows(chunk, buckets, counted)
             k, size = k + 1, 0
 
         for batch in batches:
@@ -355,10 +370,10 @@ def _serve(folder: str, keep: int):
     def of(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         levels, chunks = group.column("level").to_pylist(), group.column("chunk").to_pylist()
-        contexts = [np.cumsum(unplaned(x.as_buffer(), "<u8"), dtype=np.uint64) for x in group.column("contexts")]
-        fans = [unplaned(x.as_buffer(), "<u4").astype(np.int64) for x in group.column("fans")]
-        successors = [unplaned(x.as_buffer(), "<u4") for x in group.column("successors")]
-        counts = [unplaned(x.as_buffer(), "<u4") for x in group.column("counts")]
+        contexts = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group.column("contexts")]
+        fans = [unpacked(x, "<u4").astype(np.int64) for x in group.column("fans")]
+        successors = [unpacked(x, "<u4") for x in group.column("successors")]
+        counts = [unpacked(x, "<u4") for x in group.column("counts")]
         own: dict[int, tuple] = {}
         for level in (1, 2, 3):
             rows = [i for i, x in enumerate(levels) if x == level]
@@ -380,10 +395,10 @@ def _serve(folder: str, keep: int):
             if chunk < 0:
                 continue
             if level == 1:
-                rest, share = b"", planes(trie.word_counts(contexts[i]))
+                rest, share = b"", packed(trie.word_counts(contexts[i]))
             else:
                 rest, share = trie.search(level, contexts[i], fans[i], successors[i])
-                rest, share = np.repeat(rest, fans[i]).tobytes(), share.tobytes()
+                rest, share = packed(np.repeat(rest, fans[i])), packed(share)
             for name, value in zip(out, (chunk, level, bucket, rest, share), strict=True):
                 out[name].append(value)
         m = len(out["chunk"])
@@ -404,17 +419,15 @@ def _score(folder: str, total: int, kinds: int):
         group = group.sort_by([("level", "ascending"), ("bucket", "ascending")])
         chunk = group.column("chunk")[0].as_py()
         level = group.column("level").to_numpy()
-        blobs = lambda name, k: [x.as_buffer() for x in group.column(name).filter(pa.array(level == k))]
-        counts = np.concatenate([unplaned(x, "<f4") for x in blobs("shares", 1)] or [np.zeros(0, "<f4")]).astype(np.float64)
-        bytes_ = lambda name, k: np.concatenate([np.frombuffer(x, np.uint8) for x in blobs(name, k)] or [np.zeros(0, np.uint8)])
-        reader = pa.py_buffer(mapped(f"{folder}/texts/{chunk}"))
-        source = pa.BufferReader(reader)
-        text, places = pa.ipc.open_stream(source).read_all(), pa.ipc.open_stream(source).read_all()
-        first, second, third = (unplaned(places.column(c)[0].as_buffer(), "<u4") for c in ("first", "second", "third"))
-        p = (np.maximum(counts - DISCOUNT, 0) / max(total, 1) + DISCOUNT * max(kinds, 1) / max(total, 1) / (kinds + 1))[first]
-        for at, k in ((second, 2), (third, 3)):
-            p = SHARE_OF[bytes_("shares", k)][at] + REST_OF[bytes_("rests", k)][at] * p
+        codes = lambda name, k, kind: np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in group.column(name).filter(pa.array(level == k)))])
+        source = pa.BufferReader(pa.py_buffer(mapped(f"{folder}/texts/{chunk}")))
+        text, own = pa.ipc.open_stream(source).read_all(), pa.ipc.open_stream(source).read_all()
         n, null = text.column("counts").to_numpy(), text.column("null").to_numpy()
+        grams = Ngrams(np.frombuffer(own.column("vocabulary")[0].as_buffer(), "<u8"), unpacked(own.column("words")[0], "<u4").astype(np.int64), n, True)
+        counts = codes("shares", 1, "<f4").astype(np.float64)
+        p = (np.maximum(counts - DISCOUNT, 0) / max(total, 1) + DISCOUNT * max(kinds, 1) / max(total, 1) / (kinds + 1))[grams.first]
+        for at, k in ((grams.second, 2), (grams.third, 3)):
+            p = SHARE_OF[codes("shares", k, "u1")][at] + REST_OF[codes("rests", k, "u1")][at] * p
         logs = segment_sums(np.log(p), np.where(n > 0, n + 1, 0))
         none = null | (n == 0) | (total == 0)
         return pa.table(
