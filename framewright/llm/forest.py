@@ -126,3 +126,11 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     hung = equal.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select(F.col("a").alias("vec_id"), F.coalesce("root", "b").alias("duplicate_of"))
     rest = roots.filter("node <> root").select(F.col("node").alias("vec_id"), F.col("root").alias("duplicate_of"))
     return hung.unionByName(rest)
+
+
+def near_duplicates_sql(table: str = "embeddings", id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> str:
+    """The exact groups in SQL, by comparing all pairs."""
+    return f"""
+WITH RECURSIVE near AS MATERIALIZED (SELECT a.{id_col} AS a, b.{id_col} AS b FROM {table} a JOIN {table} b ON a.{id_col} <> b.{id_col} AND list_cosine_similarity(a.{vector_col}, b.{vector_col}) >= CAST({threshold!r} AS DOUBLE)),
+reach(node, root) AS (SELECT a, a FROM near UNION SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.node WHERE r.root < n.b)
+SELECT node AS vec_id, min(root) AS duplicate_of FROM reach GROUP BY node HAVING min(root) < node"""

@@ -53,4 +53,4 @@ def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_lm_scoring, op4_token_counts, op5_toxicity, op6_substrings, op7_packing, op8_neighbours, op9_sharding, op10_embedding_duplicates)}
 
 #: The other operators have no SQL form that is exact or quick on whole tables; tests/llm holds them to brute force.
-ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.shard_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.shard_sql(), "op10_embedding_duplicates": forest.near_duplicates_sql()}
