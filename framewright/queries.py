@@ -95,9 +95,9 @@ def filter_by_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piped(spark, V.images(spark, sf_dir), lambda: FilterByAspectRatio(0.5, 2)).select(*_IMAGE)
 
 
-@query(f"WITH {V.IMAGES_SQL} SELECT {_COLS} FROM images WHERE aesthetic_score > 1000 AND format <> 'WEBP'")
+@query(f"WITH {V.IMAGES_SQL} SELECT {_COLS} FROM images WHERE aesthetic_score > 950 AND format <> 'WEBP'")
 def filter_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piped(spark, V.images(spark, sf_dir), lambda: Filter((F.col("aesthetic_score") > 1000) & (F.col("format") != "WEBP"))).select(*_IMAGE)
+    return piped(spark, V.images(spark, sf_dir), lambda: Filter((F.col("aesthetic_score") > 950) & (F.col("format") != "WEBP"))).select(*_IMAGE)
 
 
 @query(f"WITH {V.REVIEWED_SQL} SELECT doc_id, objectid FROM reviewed WHERE coalesce(passed, true)")
