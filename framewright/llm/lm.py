@@ -41,7 +41,7 @@ from framewright.storage import materialise, new_path
 
 DISCOUNT = 0.75
 KEEP = 2
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 2_000_000
 SHARE_STEP, REST_STEP = 7.0, 16.0  # codes a factor of two
 _BEGIN, _END = 0, 1
 _MARKS = np.array([0x9E6C63D0876A9A99, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
@@ -113,14 +113,14 @@ def distinct(seq: np.ndarray, at: np.ndarray, width: int, inverse: bool) -> tupl
     if width <= 1 << 21:
         key = (seq[at - 2] << 42) | (seq[at - 1] << 21) | seq[at]
         found = np.unique(key, return_inverse=inverse, return_counts=True)
-        low = (1 << 21) - 1
-        k = found[0]
-        parts = k >> 42, (k >> 21) & low, k & low
+        low, k = (1 << 21) - 1, found[0]
+        del key
+        parts = tuple(x.astype(np.int32) for x in (k >> 42, (k >> 21) & low, k & low))
     else:  # a text of very many words, more than 21 bits can number
         pair, back = np.unique((seq[at - 2] << 32) | seq[at - 1], return_inverse=True)
         found = np.unique((back << 32) | seq[at], return_inverse=inverse, return_counts=True)
         own = pair[found[0] >> 32]
-        parts = own >> 32, own & 0xFFFFFFFF, found[0] & 0xFFFFFFFF
+        parts = tuple(x.astype(np.int32) for x in (own >> 32, own & 0xFFFFFFFF, found[0] & 0xFFFFFFFF))
     return (*parts, found[-1], found[1]) if inverse else (*parts, found[-1])
 
 
@@ -174,7 +174,7 @@ class Ngrams:
         if inverse:  # each occurrence's place in every list of records
             keep = seq[at - 1] != _END
             record = back[0][keep]
-            pair2 = np.searchsorted((pa_ << 32) | pb, (b << 32) | c)
+            pair2 = np.searchsorted((pa_.astype(np.int64) << 32) | pb, (b.astype(np.int64) << 32) | c)
             self.third, self.second, self.first = self.levels[0]["place"][record], self.levels[1]["place"][pair2[record]], self.word_place[c[record]]
 
     @staticmethod
@@ -398,7 +398,7 @@ def _serve(folder: str, keep: int):
                 rest, share = b"", packed(trie.word_counts(contexts[i]))
             else:
                 rest, share = trie.search(level, contexts[i], fans[i], successors[i])
-                rest, share = packed(np.repeat(rest, fans[i])), packed(share)
+                rest, share = packed(rest), packed(share)
             for name, value in zip(out, (chunk, level, bucket, rest, share), strict=True):
                 out[name].append(value)
         m = len(out["chunk"])
@@ -421,13 +421,13 @@ def _score(folder: str, total: int, kinds: int):
         level = group.column("level").to_numpy()
         codes = lambda name, k, kind: np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in group.column(name).filter(pa.array(level == k)))])
         source = pa.BufferReader(pa.py_buffer(mapped(f"{folder}/texts/{chunk}")))
-        text, own = pa.ipc.open_stream(source).read_all(), pa.ipc.open_stream(source).read_all()
+        text, kept = pa.ipc.open_stream(source).read_all(), pa.ipc.open_stream(source).read_all()
         n, null = text.column("counts").to_numpy(), text.column("null").to_numpy()
-        grams = Ngrams(np.frombuffer(own.column("vocabulary")[0].as_buffer(), "<u8"), unpacked(own.column("words")[0], "<u4").astype(np.int64), n, True)
+        grams = Ngrams(np.frombuffer(kept.column("vocabulary")[0].as_buffer(), "<u8"), unpacked(kept.column("words")[0], "<u4").astype(np.int64), n, True)
         counts = codes("shares", 1, "<f4").astype(np.float64)
         p = (np.maximum(counts - DISCOUNT, 0) / max(total, 1) + DISCOUNT * max(kinds, 1) / max(total, 1) / (kinds + 1))[grams.first]
-        for at, k in ((grams.second, 2), (grams.third, 3)):
-            p = SHARE_OF[codes("shares", k, "u1")][at] + REST_OF[codes("rests", k, "u1")][at] * p
+        for at, k, own in ((grams.second, 2, grams.levels[1]), (grams.third, 3, grams.levels[0])):
+            p = SHARE_OF[codes("shares", k, "u1")][at] + REST_OF[np.repeat(codes("rests", k, "u1"), own["fans"])][at] * p
         logs = segment_sums(np.log(p), np.where(n > 0, n + 1, 0))
         none = null | (n == 0) | (total == 0)
         return pa.table(
