@@ -2,16 +2,16 @@
 
 Counting and scoring are one pass over the corpus and one exchange with the trie. Every partition cuts its texts into
 chunks, counts each chunk's distinct trigrams, and with them its bigrams and words, which are their prefixes, and sends
-each n-gram once to the shard of its context. A shard adds up, keeps what was seen ``KEEP`` times or more, and writes the
-levels of its part of the trie to the shared folder: contexts, monotone pointers to the begin of each context's
+each n-gram once to the shard of its context. A shard adds up, keeps what was seen ``KEEP`` times or more, which is all of it, and
+writes the levels of its part of the trie to the shared folder: contexts, monotone pointers to the begin of each context's
 successors, and the successors, numbered relative to their context, all three as Elias-Fano sequences; probabilities and
 back-off weights are quantised to a byte. It maps the levels into memory and answers each chunk's n-grams by successor
-search. The answers, two bytes for most n-grams, go back to the chunks, whose texts wait in the shared folder as numbers of
+search; then its file goes, as no other task reads it. The answers, two bytes for most n-grams, go back to the chunks, whose texts wait in the shared folder as numbers of
 their words. No text is shuffled, no part of the model is broadcast, and no n-gram goes uncounted.
 
 Smoothing: interpolated absolute discounting. p(w | u v) = share(w | u v) + rest(u v) * p(w | v), share being
-(count - D) / count of the context for n-grams that are kept, and rest what the kept ones leave. A text is scored among
-its own corpus, so an n-gram seen only once says nothing about it and is not kept.
+(count - D) / count of the context for n-grams that are kept, and rest what the kept ones leave. N-grams seen once are kept
+like all others; a greater ``keep`` leaves them to the lower orders.
 
 Defined results: case, punctuation and white space do not count. A null text has a null score and count, one without
 words a null score and a count of 0. The score is the natural logarithm of the probability of all words and the text's end;
@@ -40,7 +40,7 @@ from framewright.llm.eliasfano import EliasFano
 from framewright.storage import materialise, new_path
 
 DISCOUNT = 0.75
-KEEP = 2
+KEEP = 1
 CHUNK_WORDS = 2_000_000
 SHARE_STEP, REST_STEP = 7.0, 16.0  # codes a factor of two
 _BEGIN, _END = 0, 1
@@ -69,6 +69,11 @@ def write_bytes(path: str, data: bytes) -> None:
     fs.move(own, at)
 
 
+def remove(path: str) -> None:
+    fs, at = filesystem(path)
+    fs.delete_file(at)
+
+
 def mapped(path: str) -> np.ndarray:
     """The bytes of a file, memory-mapped where the shared folder is mounted."""
     fs, at = filesystem(path)
@@ -368,6 +373,8 @@ def _serve(folder: str, keep: int):
     """A shard: build its part of the trie, then answer every chunk from it."""
 
     def of(group: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
+
         bucket = group.column("bucket")[0].as_py()
         levels, chunks = group.column("level").to_pylist(), group.column("chunk").to_pylist()
         contexts = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group.column("contexts")]
@@ -386,7 +393,7 @@ def _serve(folder: str, keep: int):
             else:
                 wide = np.repeat(cat(contexts, np.uint64), cat(fans, np.int64))
                 own[level] = summed(wide[seen], cat(successors, np.uint32)[seen], n[seen])
-        path = f"{folder}/trie/{bucket}"
+        path = f"{folder}/trie/{bucket}.{TaskContext.get().taskAttemptId()}"
         write_bytes(path, Trie.build(own.pop(1), own, keep))
         del own, counts
         trie = Trie.open(path)
@@ -401,6 +408,7 @@ def _serve(folder: str, keep: int):
                 rest, share = packed(rest), packed(share)
             for name, value in zip(out, (chunk, level, bucket, rest, share), strict=True):
                 out[name].append(value)
+        remove(path)
         m = len(out["chunk"])
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         totals = [pa.array([x, *[None] * (m - 1)], pa.int64()) for x in (trie.total, trie.kinds)]

@@ -95,6 +95,15 @@ def test_lm_of_other_texts(make, prose):
     assert lm.score(make([])).count() == 0 and lm.score(make([]), make(corpus)).count() == 0
 
 
+def test_lm_keeps_what_was_seen_once(make, prose):
+    corpus = [(k, prose(60, k)) for k in range(20)] + [(50, "one rare trigram")]
+    rows = [(1, "one rare trigram"), (2, "rare one trigram"), (3, prose(40, 3))]
+    out = lm.score(make(rows), make(corpus)).collect()
+    same(rows, out, by_force([t for _, t in rows], [t for _, t in corpus], keep=1))
+    log = {r.doc_id: r.log_prob for r in out}
+    assert log[1] > log[2] + 3  # the same words, but only those of the first follow each other in the corpus
+
+
 def test_lm_of_many_kinds_of_words():
     h, counts = np.arange(1, 41, dtype=np.uint64) % np.uint64(9) + np.uint64(1), np.array([25, 0, 15])
     v, ids = lm.numbered(h)
