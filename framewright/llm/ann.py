@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by multi-index hashing of learned binary codes.
+"""Nearest neighbours by multi-index hashing of learned binary codes, with a proof or a scan.
 
 Codes: several rotations are learned, each by alternating between the signs of all rotated vectors and the rotation that
 fits them best; every pass is a sum over the whole table. A vector's code is the signs under every rotation.
@@ -6,13 +6,16 @@ fits them best; every pass is a sum over the whole table. A vector's code is the
 Search: rows are dealt to blocks by a hash of their id, and every pair of blocks meets once. Of either block the codes are cut
 into substrings, each indexed by its value. By the pigeonhole principle a code within ``m * (s + 1) - 1`` bits of a query, m
 being the number of substrings, agrees with it up to s bits in one of them, so probing all values within s bits of each
-substring retrieves every code within that radius. The radius is widened step by step until ``ENOUGH`` codes lie within it.
-Once the values to be probed outnumber the block's codes, the next radius is read off the codes themselves, which retrieves the
-same set at less cost; then the nearest ``DEPTH`` codes, and those as near as the last, make the radius. All that is
-retrieved is ranked anew by the floats.
+substring retrieves every code within that radius. The radius is widened up to ``REACH`` bits until ``ENOUGH`` codes lie within it,
+and all that is retrieved is ranked by the floats.
 
-Every row is a query. Where vectors are as far apart as random ones, no radius short of most of the index holds their
-neighbours; every pair of blocks is then scanned by codes, which grows with the square of the rows.
+Proof: a code beyond the radius differs, under some rotation, in at least its share of the bits. Where signs differ the products
+are negative, so the cosine is at most the length of the query without its smallest coordinates of that number. A query is done
+when its k-th best cosine lies above that bound. All others are compared with the whole block by floats, so no neighbour is
+lost, however dense its cluster.
+
+Every row is a query. Proofs succeed among near copies; elsewhere every pair of blocks is scanned, which grows with the square of
+the rows.
 
 Defined results: a row is not its own neighbour; equal vectors are neighbours; equal similarities are ranked by id. See
 ``unit_vectors`` for what is left out. Fewer rows than k give as many neighbours as there are; an empty table none.
@@ -35,8 +38,9 @@ from framewright.storage import materialise
 K = 10
 BITS = 512
 PIECE = 16
-DEPTH = 192
-ENOUGH = 64
+REACH = 63
+ENOUGH = 16
+SLACK = 1e-5  # of cosines in single precision
 BLOCK = 8_192
 ROUNDS = 3
 STRIP = 256
@@ -81,11 +85,15 @@ def encode(m: np.ndarray, turned: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(np.pad(signs, ((0, 0), (0, pad))), axis=1, bitorder="little").view("<u8")
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)), np.uint16)
-    for w in range(a.shape[1]):
-        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-    return out
+def bounds(turned_queries: list[np.ndarray], bits: int, radius: int) -> np.ndarray:
+    """The greatest cosine that a vector whose code lies beyond the radius can have with each query."""
+    width, most = turned_queries[0].shape[1], np.full(len(turned_queries[0]), -1.0)
+    differ = -(-(radius + 1) // len(turned_queries))
+    for k, t in enumerate(turned_queries):
+        own = t[:, : min(width, bits - k * width)] ** 2
+        if differ <= own.shape[1]:
+            most = np.maximum(most, np.sqrt(np.maximum(1 - np.partition(own, differ - 1, axis=1)[:, :differ].sum(axis=1), 0)))
+    return most
 
 
 class Index:
@@ -114,16 +122,24 @@ class Index:
         both = np.unique(np.concatenate(found))
         return both // n, both % n
 
-    def within(self, codes: np.ndarray, depth: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(queries, rows) of the radius that holds enough, each query in one of the parts."""
+    def hits(self, codes: np.ndarray, ring: np.ndarray) -> np.ndarray:
+        """How many rows the probes of each query meet, repeats included."""
+        pieces, total = self.pieces(codes), np.zeros(len(codes), np.int64)
+        for j in range(pieces.shape[1]):
+            at = pieces[:, j, None] ^ ring
+            total += (self.begin[j, at + 1] - self.begin[j, at]).sum(axis=1)
+        return total
+
+    def within(self, codes: np.ndarray, reach: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, rows) of the least radius that holds enough, part s of radius m * (s + 1) - 1; a query that has too few up
+        to the reach, or whose probes cost more than a scan, is in no part."""
         n, m = len(self.codes), self.begin.shape[0]
-        left = np.arange(len(codes))
+        left, ring = np.arange(len(codes)), np.zeros(0, np.int64)
         for s in range(PIECE + 1):
-            ring = np.array([sum(1 << b for b in c) for c in combinations(range(PIECE), s)], np.int64)
-            ring = np.concatenate([seen, ring]) if s else ring
-            seen = ring
-            if len(ring) * m >= n or not len(left):
+            ring = np.concatenate([ring, np.array([sum(1 << b for b in c) for c in combinations(range(PIECE), s)], np.int64)])
+            if m * (s + 1) - 1 > reach or len(ring) * m >= n or not len(left):
                 break
+            left = left[self.hits(codes[left], ring) < n]
             i, j = self.probe(codes[left], ring)
             inside = np.bitwise_count(codes[left[i]] ^ self.codes[j]).sum(axis=1) <= m * (s + 1) - 1
             i, j = i[inside], j[inside]
@@ -131,28 +147,47 @@ class Index:
             mine = done[i]
             yield left[i[mine]], j[mine]
             left = left[~done]
-        if len(left):
-            d = distances(codes[left], self.codes)
-            radius = np.partition(d, depth - 1, axis=1)[:, depth - 1] if n > depth else np.full(len(left), 1 << 14)
-            i, j = np.nonzero(d <= radius[:, None])
-            yield left[i], j
 
 
-def top(index: Index, codes: np.ndarray, queries: np.ndarray, ids: np.ndarray, floats: np.ndarray, own: np.ndarray, k: int, depth: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(queries' ids, ids, similarities), a query's k best one after the other, of what the index retrieves; ``own``: the queries' ids."""
+def top(index: Index, codes: np.ndarray, queries: np.ndarray, ids: np.ndarray, floats: np.ndarray, own: np.ndarray, turned: np.ndarray, bits: int, k: int, reach: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries' ids, ids, similarities), a query's k best one after the other, of all that the index has; ``own``: the queries' ids."""
+
+    def ranked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keep = ids[j] != own[i]
+        i, j = i[keep], j[keep]
+        s = np.concatenate([np.einsum("ij,ij->i", queries[i[c : c + (1 << 16)]], floats[j[c : c + (1 << 16)]]) for c in range(0, len(i), 1 << 16)] or [np.zeros(0, np.float32)])
+        by = np.lexsort((ids[j], -s, i))
+        i, j, s = i[by], j[by], s[by]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[best], j[best], s[best]
+
     for a in range(0, len(codes), STRIP):
-        for i, j in index.within(codes[a : a + STRIP], depth, enough):
-            keep = ids[j] != own[a + i]
-            i, j = a + i[keep], j[keep]
-            s = np.concatenate([np.einsum("ij,ij->i", queries[i[c : c + (1 << 16)]], floats[j[c : c + (1 << 16)]]) for c in range(0, len(i), 1 << 16)] or [np.zeros(0, np.float32)])
-            by = np.lexsort((ids[j], -s, i))
-            i, j, s = i[by], j[by], s[by]
-            first = np.searchsorted(i, i)
-            best = np.arange(len(i)) - first < k
-            yield own[i[best]], ids[j[best]], s[best]
-
-
-def _meet(width: int, turned: np.ndarray, bits: int, k: int, depth: int, enough: int):
+        n = len(codes[a : a + STRIP])
+        left = np.ones(n, bool)
+        spun = [queries[a : a + n] @ r for r in turned]
+        for step, (i, j) in enumerate(index.within(codes[a : a + n], reach, enough)):
+            if not len(i):
+                continue
+            i, j, s = ranked(a + i, j)
+            last = np.full(n, -2.0)
+            full = np.bincount(i - a, minlength=n) == k
+            np.minimum.at(x := np.full(n, 2.0), i - a, s)
+            last[full] = x[full]
+            proved = last > bounds(spun, bits, index.begin.shape[0] * (step + 1) - 1) + SLACK
+            left &= ~proved
+            mine = proved[i - a]
+            yield own[i[mine]], ids[j[mine]], s[mine]
+        rest = a + np.flatnonzero(left)
+        if len(rest):
+            s = queries[rest] @ floats.T
+            s[ids == own[rest, None]] = -2
+            least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(rest), -2.0)
+            i, j = np.nonzero(s >= least[:, None] - SLACK)
+            i, j, s = ranked(rest[i], j)
+            yield own[i], ids[j], s
+
+
+def _meet(width: int, turned: np.ndarray, bits: int, k: int, reach: int, enough: int):
     def of(group: pa.Table) -> pa.Table:
         block, ids = group.column("block").to_numpy(), group.column("vec_id").to_numpy()
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
@@ -163,7 +198,7 @@ def _meet(width: int, turned: np.ndarray, bits: int, k: int, depth: int, enough:
         for a, b in ((0, 1), (1, 0)) if lo != hi else ((0, 0),):
             left, right = sides[a], sides[b]
             if len(left) and len(right):
-                out += top(Index(codes[right]), codes[left], m[left], ids[right], m[right], ids[left], k, depth, enough)
+                out += top(Index(codes[right]), codes[left], m[left], ids[right], m[right], ids[left], turned, bits, k, reach, enough)
         own, names, s = (np.concatenate([x[i] for x in out]) for i in range(3))
         begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
         cuts = pa.array(np.append(begin, len(own)), pa.int32())
@@ -172,18 +207,17 @@ def _meet(width: int, turned: np.ndarray, bits: int, k: int, depth: int, enough:
     return of
 
 
-def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS, depth: int = DEPTH, enough: int = ENOUGH, block: int = BLOCK) -> DataFrame:
+def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS, reach: int = REACH, enough: int = ENOUGH, block: int = BLOCK) -> DataFrame:
     """Rows (vec_id, rank, neighbour_id, similarity): the k nearest of every row by cosine, the first at rank 1."""
     if k < 1 or bits % 64:
         raise ValueError("k must be positive and bits a multiple of 64")
     own, n, width = unit_vectors(df, id_col, vector_col)
     own = materialise(own, "vectors")
     turned = learn(own, width, bits) if n else np.zeros((0, 1, 1))
-    depth = max(depth, 2 * k)
     blocks = max(1, -(-n // block))
     placed = own.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("vec_id", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    found = met.groupBy("lo", "hi").applyInArrow(_meet(width, turned, bits, k, depth, max(enough, 2 * k)), "vec_id long, ids array<long>, s array<float>")
+    found = met.groupBy("lo", "hi").applyInArrow(_meet(width, turned, bits, k, reach, max(enough, k + 1)), "vec_id long, ids array<long>, s array<float>")
     # Of every block at most k: k * blocks entries a row.
     pairs = F.flatten(F.collect_list(F.arrays_zip("ids", "s")))
     ranked = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.transform(pairs, lambda x: F.struct((-x["s"]).alias("s"), x["ids"].alias("id")))), 1, k).alias("best"))

@@ -145,6 +145,30 @@ def test_neighbours(vectors, block):
     assert [i for _, i in one] == [7, 2001, 2002, 2003, 2004]  # ties by id
 
 
+@pytest.mark.parametrize("cosine", [0.7, 0.8, 0.9])
+def test_neighbours_in_dense_clusters(cosine):
+    rng = np.random.default_rng(5)
+    n, width = 4000, 64
+    spread = rng.standard_normal((n, width)) / np.sqrt(width)
+    m = np.sqrt(cosine) * np.eye(width)[0] + np.sqrt(1 - cosine) * spread
+    m[:40] = m[0] + 1e-4 * spread[:40]  # near copies, which a proof settles
+    m[40:70] = m[40]
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    turned, ids = ann.rotations(width, 8), np.arange(n)
+    codes = ann.encode(m, turned, 512)
+    rows = [x for part in ann.top(ann.Index(codes), codes, m, ids, m, ids, turned, 512, 10, ann.REACH, ann.ENOUGH) for x in zip(*part)]
+    s = m @ m.T
+    np.fill_diagonal(s, -9)
+    least = -np.partition(-s, 9, axis=1)[:, 9]
+    assert len(rows) == len({x[:2] for x in rows}) == 10 * n
+    assert all(s[q, x] >= least[q] - 1e-6 for q, x, _ in rows)
+    assert sorted(x for q, x, _ in rows if q == 50) == list(range(40, 50))  # ties by id
+    spun, d = [m @ r for r in turned], np.bitwise_count(codes[:, None] ^ codes[None, :200]).sum(axis=2)
+    for radius in (31, 63, 95):  # nothing beyond a radius is above its bound
+        assert (np.where(d > radius, m @ m[:200].T, -1).max(axis=1) <= ann.bounds(spun, 512, radius) + 1e-6).all()
+    assert (least > ann.bounds(spun, 512, 31) + ann.SLACK)[:40].any()
+
+
 def test_probing_retrieves_the_radius():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 1 << 63, (9000, 8), dtype=np.uint64)
