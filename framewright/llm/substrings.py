@@ -9,13 +9,13 @@ make a factor, greedily the longest. Factors of ``LENGTH`` words or more are dup
 factors, where a passage can go on in another reference, every stretch of ``LENGTH`` words around a shared anchor is
 looked up in the corpus as a whole, so the parse misses none.
 
-Result: exactly the words lying in some stretch of ``LENGTH`` words that also occurs in a document of lesser id. The
-first document that has a passage keeps it. Words are compared without case, punctuation or white space. Equality is
+Result: exactly the words lying in some stretch of ``LENGTH`` words that also occurs in an earlier document, that is, of
+lesser id or, under one id, of lesser ``text_hash``. The first document that has a passage keeps it. Words are compared without case, punctuation or white space. Equality is
 that of 64-bit hashes.
 
 Defined results: null texts, rows with a null id and texts of fewer than ``LENGTH`` words have no spans. Rows of one id
-are one document when they repeat one text, and it does not duplicate itself; other texts under an id that came before
-are not looked at. What a document repeats within itself is left alone. Empty tables give no rows. Other columns are
+are one document when they repeat one text, and it does not duplicate itself; different texts under an id are documents of their
+own, told apart by ``text_hash``, the xxhash64 of the text. What a document repeats within itself is left alone. Empty tables give no rows. Other columns are
 ignored by ``duplicate_spans`` and kept by ``cut_duplicates``, which sets ``n_chars``, if there is one, anew, and drops a document of
 which nothing but separators is left.
 """
@@ -95,7 +95,7 @@ def anchors(h: np.ndarray, counts: np.ndarray, length: int = LENGTH, size: int =
     return at, grams[at]
 
 
-_PARTS = "bucket int, h binary, doc binary, a binary"
+_PARTS = "bucket int, h binary, doc binary, key binary, a binary"
 
 
 def _blobs(bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, str]]) -> pa.RecordBatch | None:
@@ -124,22 +124,22 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _index(buckets: int, length: int, size: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, doc, at = (np.concatenate([x[i] for x in held]) for i in range(3))
+            h, doc, key, at = (np.concatenate([x[i] for x in held]) for i in range(4))
             held.clear()
-            if (out := _blobs(_bucket(h, buckets), {"h": (h, "<u8"), "doc": (doc, "<i8"), "a": (at, "<i4")})) is not None:
+            if (out := _blobs(_bucket(h, buckets), {"h": (h, "<u8"), "doc": (doc, "<i8"), "key": (key, "<i8"), "a": (at, "<i4")})) is not None:
                 yield out
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for row, buf, offsets in text_chunks(batch.column(1)):
                 low, starts, lengths, counts = words(buf, offsets)
                 at, h = anchors(hash_spans(low, starts, lengths), counts, length, size)
                 ends = np.cumsum(counts)
                 doc = np.searchsorted(ends, at, side="right")
-                held.append((h, ids[row + doc], at - (ends - counts)[doc]))
+                held.append((h, ids[row + doc], keys[row + doc], at - (ends - counts)[doc]))
                 if sum(len(x[0]) for x in held) > FLUSH:
                     yield from flush()
         if held:
@@ -150,21 +150,21 @@ def _index(buckets: int, length: int, size: int):
 
 def _firsts(group: pa.Table) -> pa.Table:
     """For every anchor that two documents have: its places, each with the first."""
-    h, doc, at = _records(group, {"h": "<u8", "doc": "<i8", "a": "<i4"})
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
+    h, doc, key, at = _records(group, {"h": "<u8", "doc": "<i8", "key": "<i8", "a": "<i4"})
+    order = np.lexsort((at, key, doc, h))
+    h, doc, key, at = h[order], doc[order], key[order], at[order]
     new = np.concatenate([[True], h[1:] != h[:-1]])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     last = np.append(np.flatnonzero(new)[1:], len(h))[np.cumsum(new) - 1] - 1
-    keep = doc[last] != doc[first]
-    return pa.table({"doc": doc[keep], "at": at[keep].astype(np.int32), "ref": doc[first][keep], "ref_at": at[first][keep].astype(np.int32)})
+    keep = (doc[last] != doc[first]) | (key[last] != key[first])
+    return pa.table({"doc": doc[keep], "key": key[keep], "at": at[keep].astype(np.int32), "ref": doc[first][keep], "ref_key": key[first][keep], "ref_at": at[first][keep].astype(np.int32)})
 
 
-_SPANS = "kind int, bucket int, h binary, doc binary, a binary, b binary, doc_id long, start int, end int, source_id long"
+_SPANS = "kind int, bucket int, h binary, doc binary, key binary, a binary, b binary, doc_id long, text_hash long, start int, end int, source_id long"
 
 
 def _empty(n: int) -> dict[str, pa.Array]:
-    return {"kind": pa.array(np.zeros(n), pa.int32()), "bucket": pa.nulls(n, pa.int32()), **{c: pa.nulls(n, pa.binary()) for c in ("h", "doc", "a", "b")}, **{c: pa.nulls(n, pa.int64()) for c in ("doc_id", "source_id")}, **{c: pa.nulls(n, pa.int32()) for c in ("start", "end")}}
+    return {"kind": pa.array(np.zeros(n), pa.int32()), "bucket": pa.nulls(n, pa.int32()), **{c: pa.nulls(n, pa.binary()) for c in ("h", "doc", "key", "a", "b")}, **{c: pa.nulls(n, pa.int64()) for c in ("doc_id", "text_hash")}, **{c: pa.nulls(n, pa.int32()) for c in ("start", "end")}, "source_id": pa.nulls(n, pa.int64())}
 
 
 def parse(column: pa.Array, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray, length: int, size: int):
@@ -224,20 +224,29 @@ def _parse(buckets: int, length: int, size: int):
         none = pa.table(_empty(0))
         if not docs.num_rows or not shared.num_rows:
             return none
-        doc, at, ref, ref_at = (shared.column(c).to_numpy() for c in ("doc", "at", "ref", "ref_at"))
+        doc, key, at, ref, ref_key, ref_at = (shared.column(c).to_numpy() for c in ("doc", "key", "at", "ref", "ref_key", "ref_at"))
+        ids, keys = docs.column("doc_id").to_numpy(), docs.column("text_hash").to_numpy()
+        # Documents are numbered in the order of (id, hash of the text).
+        name, name_key = np.concatenate([ids, doc, ref]), np.concatenate([keys, key, ref_key])
+        by = np.lexsort((name_key, name))
+        name, name_key = name[by], name_key[by]
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(np.concatenate([[False], (name[1:] != name[:-1]) | (name_key[1:] != name_key[:-1])]))
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(number[by]) > 0]))
+        name, name_key = name[begin], name_key[begin]
+        ids, doc, ref = np.split(number, np.cumsum([len(ids), len(doc)]))
         order = np.lexsort((at, doc))
         doc, at, ref, ref_at = doc[order], at[order], ref[order], ref_at[order]
-        ids = docs.column("doc_id").to_numpy()
         distinct = np.sort(np.unique(ids, return_index=True)[1])
         rows = distinct[np.isin(ids[distinct], doc)]
         out, held = [none], []
         for factors, stretches in parse(docs.column("text").take(pa.array(rows)), ids[rows], doc, at, ref, ref_at, length, size):
             if n := len(factors[0]):
-                out.append(pa.table(_empty(n) | {"doc_id": pa.array(factors[0], pa.int64()), "start": pa.array(factors[1], pa.int32()), "end": pa.array(factors[2], pa.int32()), "source_id": pa.array(factors[3], pa.int64())}))
+                out.append(pa.table(_empty(n) | {"doc_id": pa.array(name[factors[0]], pa.int64()), "text_hash": pa.array(name_key[factors[0]], pa.int64()), "start": pa.array(factors[1], pa.int32()), "end": pa.array(factors[2], pa.int32()), "source_id": pa.array(name[factors[3]], pa.int64())}))
             held.append(stretches)
         if held:
             h, d, a, b = (np.concatenate([x[i] for x in held]) for i in range(4))
-            batch = _blobs(_bucket(h, buckets), {"h": (h, "<u8"), "doc": (d, "<i8"), "a": (a, "<i4"), "b": (b, "<i4")})
+            batch = _blobs(_bucket(h, buckets), {"h": (h, "<u8"), "doc": (name[d], "<i8"), "key": (name_key[d], "<i8"), "a": (a, "<i4"), "b": (b, "<i4")})
             if batch is not None:
                 cols = _empty(batch.num_rows) | {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
                 cols["kind"] = pa.array(np.ones(batch.num_rows), pa.int32())
@@ -248,41 +257,41 @@ def _parse(buckets: int, length: int, size: int):
 
 
 def _repeats(group: pa.Table) -> pa.Table:
-    """Stretches that a document of lesser id has too."""
-    h, doc, a, b = _records(group, {"h": "<u8", "doc": "<i8", "a": "<i4", "b": "<i4"})
-    order = np.lexsort((a, doc, h))
-    h, doc, a, b = h[order], doc[order], a[order], b[order]
+    """Stretches that an earlier document has too."""
+    h, doc, key, a, b = _records(group, {"h": "<u8", "doc": "<i8", "key": "<i8", "a": "<i4", "b": "<i4"})
+    order = np.lexsort((a, key, doc, h))
+    h, doc, key, a, b = h[order], doc[order], key[order], a[order], b[order]
     new = np.concatenate([[True], h[1:] != h[:-1]])
-    source = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    again = doc != source
-    return pa.table({"doc_id": doc[again], "start": a[again].astype(np.int32), "end": b[again].astype(np.int32), "source_id": source[again]})
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    source, again = doc[first], (doc != doc[first]) | (key != key[first])
+    return pa.table({"doc_id": doc[again], "text_hash": key[again], "start": a[again].astype(np.int32), "end": b[again].astype(np.int32), "source_id": source[again]})
 
 
 def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows (doc_id, start, end, source_id): characters start (from 0) to end (exclusive) repeat a document of lesser id."""
+    """Rows (doc_id, text_hash, start, end, source_id): characters start (from 0) to end (exclusive) of the text repeat an earlier document."""
     size = max(1, (length + 2) // 2)
-    docs = texts(df, id_col, text_col).filter("doc_id is not null and text is not null")
+    docs = texts(df, id_col, text_col).filter("doc_id is not null and text is not null").withColumn("text_hash", F.xxhash64("text"))
     buckets = max(partitions(df.sparkSession), 2 * docs.rdd.getNumPartitions())
     index = docs.mapInArrow(_index(buckets, length, size), _PARTS)
-    shared = index.groupBy("bucket").applyInArrow(_firsts, "doc long, at int, ref long, ref_at int")
+    shared = index.groupBy("bucket").applyInArrow(_firsts, "doc long, key long, at int, ref long, ref_key long, ref_at int")
     by = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
     left = docs.withColumn("part", by("doc_id")).groupBy("part")
     right = shared.withColumn("part", by("doc")).groupBy("part")
     parsed = materialise(left.cogroup(right).applyInArrow(_parse(buckets, length, size), _SPANS), "factors")
-    repeats = parsed.filter("kind = 1").groupBy("bucket").applyInArrow(_repeats, "doc_id long, start int, end int, source_id long")
-    spans = parsed.filter("kind = 0").select("doc_id", "start", "end", "source_id").unionByName(repeats)
+    repeats = parsed.filter("kind = 1").groupBy("bucket").applyInArrow(_repeats, "doc_id long, text_hash long, start int, end int, source_id long")
+    spans = parsed.filter("kind = 0").select("doc_id", "text_hash", "start", "end", "source_id").unionByName(repeats)
     # Overlapping spans become one.
-    before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     apart = spans.withColumn("new", F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1))
-    return apart.withColumn("k", F.sum("new").over(upto)).groupBy("doc_id", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("source_id", F.struct("start", "end")).alias("source_id")).drop("k")
+    return apart.withColumn("k", F.sum("new").over(upto)).groupBy("doc_id", "text_hash", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("source_id", F.struct("start", "end")).alias("source_id")).drop("k")
 
 
 def cut_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The input with the duplicate spans cut out of its texts."""
     spans = duplicate_spans(df, id_col, text_col, length)
-    cuts = spans.groupBy(F.col("doc_id").alias("__cut")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    joined = df.join(cuts, F.col(id_col).cast("long") == F.col("__cut"), "left")
+    cuts = spans.groupBy(F.col("doc_id").alias("__cut"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    joined = df.join(cuts, (F.col(id_col).cast("long") == F.col("__cut")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash")), "left")
     rest = F.expr(f"array_join(transform(sequence(0, size(__spans)), i -> substring(`{text_col}`, if(i = 0, 0, get(__spans, i - 1).end) + 1, if(i = size(__spans), length(`{text_col}`), get(__spans, i).start) - if(i = 0, 0, get(__spans, i - 1).end))), '')")
     out = joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), rest).otherwise(F.col(text_col)))
     out = out.filter(F.col("__spans").isNull() | F.col(text_col).rlike(r"[\p{L}\p{N}]"))

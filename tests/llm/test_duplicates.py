@@ -64,6 +64,17 @@ def test_substrings_are_cut(make, prose):
     assert substrings.cut_duplicates(make([])).count() == 0 and substrings.duplicate_spans(make([])).count() == 0
 
 
+def test_substrings_of_texts_under_one_id(make, prose):
+    p, q, clean = prose(80, 1), prose(80, 2), prose(200, 3)
+    rows = [(1, f"{prose(60, 4)} {p}"), (2, q), (7, clean), (7, f"{prose(30, 5)} {p} end"), (7, f"{q} {prose(30, 6)}"), (8, f"{clean} tail")]
+    for _, order in sorted((random.Random(k).random(), random.Random(k).sample(rows, len(rows))) for k in range(3)):
+        out = sorted((r.doc_id, r.text.strip()) for r in substrings.cut_duplicates(make(order, 1)).collect())
+        assert [i for i, _ in out] == [1, 2, 7, 7, 7, 8]
+        texts = [t for i, t in out if i == 7]
+        assert clean.strip() in texts and not any(p in t or q in t for t in texts) and any(t.startswith(prose(30, 5)) and t.endswith("end") for t in texts)
+        assert out[-1][1].endswith("tail") and len(out[-1][1]) < 10
+
+
 def test_op6(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert covered(rows, queries.op6_substrings(spark, SF).collect()) == spans_by_force(rows, substrings.LENGTH)
