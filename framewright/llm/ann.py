@@ -1,21 +1,23 @@
-"""Nearest neighbours by multi-index hashing of learned binary codes, with a proof or a scan.
+"""Nearest neighbours by multi-index hashing of learned binary codes.
 
-Codes: several rotations are learned, each by alternating between the signs of all rotated vectors and the rotation that
-fits them best; every pass is a sum over the whole table. A vector's code is the signs under every rotation.
+Codes: rotations are learned on a sample of at most ``SAMPLE`` vectors, each by alternating between the signs of all rotated vectors
+and the rotation that fits them best. A vector's code is the signs under every rotation, ``BITS`` in all.
 
-Search: rows are dealt to blocks by a hash of their id, and every pair of blocks meets once. Of either block the codes are cut
-into substrings, each indexed by its value. By the pigeonhole principle a code within ``m * (s + 1) - 1`` bits of a query, m
-being the number of substrings, agrees with it up to s bits in one of them, so probing all values within s bits of each
-substring retrieves every code within that radius. The radius is widened up to ``REACH`` bits until ``ENOUGH`` codes lie within it,
-and all that is retrieved is ranked by the floats.
+Index: every code is cut into substrings of ``PIECE`` bits, and every row is in the index once for each, under its value. By the pigeonhole
+principle a code within r bits of a query agrees with it up to ``r // m`` bits in one of the m substrings, so probing all values that near
+retrieves every code within the radius, and what is retrieved is ranked by the floats.
 
-Proof: a code beyond the radius differs, under some rotation, in at least its share of the bits. Where signs differ the products
-are negative, so the cosine is at most the length of the query without its smallest coordinates of that number. A query is done
-when its k-th best cosine lies above that bound. All others are compared with the whole block by floats, so no neighbour is
-lost, however dense its cluster.
+Radius: two vectors of cosine c differ in each bit with probability ``arccos(c) / pi``. A first look at the rows under a query's own values
+gives k neighbours, the least cosine of which is a bound: whatever is nearer lies, but for the tail beyond ``z`` deviations, within a
+radius that follows from it; z is measured on the sample, ``TAIL`` of whose pairs lie beyond. The one rule holds at every size and density: in a
+dense cluster the radius is small, and for a query far from everything it grows until all values are probed.
 
-Every row is a query. Proofs succeed among near copies; elsewhere every pair of blocks is scanned, which grows with the square of
-the rows.
+Plan: the index is shuffled by substring and the first bits of its value, as many as leave ``PART`` rows a place; a query goes only to the places
+within its radius. Places of more than ``PLACE_MOST`` rows are dealt to blocks, which a query visits one by one. Equal vectors, of which there may be
+any number, are in the index once, with their k + 1 least ids, as no more can be among a query's k nearest. Of a place only what is as near as
+the bound comes back.
+
+Queries are the rows whose id is divisible by ``EVERY``, against all rows.
 
 Defined results: a row is not its own neighbour; equal vectors are neighbours; equal similarities are ranked by id. See
 ``unit_vectors`` for what is left out. Fewer rows than k give as many neighbours as there are; an empty table none.
@@ -23,202 +25,306 @@ Defined results: a row is not its own neighbour; equal vectors are neighbours; e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.arrays import gather_ranges
-from framewright.llm.vectors import matrix, unit_vectors
+from framewright.llm.classes import BLOCK, column, large
+from framewright.llm.common import lean_group
+from framewright.llm.vectors import matrix, sampled, unit_vectors
 from framewright.storage import materialise
 
 K = 10
-BITS = 512
+EVERY = 20
+BITS = 128
 PIECE = 16
-REACH = 63
-ENOUGH = 16
-SLACK = 1e-5  # of cosines in single precision
-BLOCK = 8_192
 ROUNDS = 3
-STRIP = 256
+SAMPLE = 16_384
+LOOKED = 256  # of the sample's vectors, whose nearest measure z
+TAIL = 0.02
+LEAST_Z = 2.0
+FIRST = 2  # substrings of the first look
+FIRST_PART = 8_192
+PART = 65_536
+PLACE_MOST = 4 * PART
+STRIP = 1 << 21  # pairs that are compared at once
+SLACK = 1e-5  # of cosines in single precision
 
 
 def rotations(width: int, count: int, seed: int = 11) -> np.ndarray:
     """Random orthogonal matrices."""
     random = np.random.default_rng(seed)
-    return np.stack([np.linalg.qr(random.standard_normal((width, width)))[0] for _ in range(count)])
+    return np.stack([np.linalg.qr(random.standard_normal((width, width)))[0] for _ in range(count)]).astype(np.float32)
 
 
-def learn(rows: DataFrame, width: int, bits: int = BITS, rounds: int = ROUNDS) -> np.ndarray:
-    """Rotations whose signs lie closest to the vectors, over all of them."""
+def learn(m: np.ndarray, width: int, bits: int = BITS, rounds: int = ROUNDS) -> np.ndarray:
+    """Rotations whose signs lie closest to the vectors."""
     found = rotations(width, -(-bits // width))
-    shared = rows.sparkSession.sparkContext.broadcast
-
-    for _ in range(rounds):
-        now = shared(found)
-
-        def fits(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(now.value)
-            for batch in batches:
-                m = matrix(batch.column(0), width)
-                for k, r in enumerate(now.value):
-                    total[k] += m.T @ np.where(m @ r > 0, 1.0, -1.0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["cell", "x"])
-
-        cells = rows.select("v").mapInArrow(fits, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas().sort_values("cell")
-        if not len(cells):
-            break
-        for k, m in enumerate(cells["x"].to_numpy().reshape(found.shape)):
-            u, _, v = np.linalg.svd(m)
+    for _ in range(rounds if len(m) > width else 0):
+        for k, r in enumerate(found):
+            u, _, v = np.linalg.svd(m.T @ np.where(m @ r > 0, np.float32(1), np.float32(-1)))
             found[k] = u @ v
-        now.unpersist()
     return found
 
 
-def encode(m: np.ndarray, turned: np.ndarray, bits: int) -> np.ndarray:
+def encode(m: np.ndarray, turned: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Rows of 64-bit words."""
     signs = np.concatenate([m @ r > 0 for r in turned], axis=1)[:, :bits]
-    pad = -signs.shape[1] % 64
-    return np.packbits(np.pad(signs, ((0, 0), (0, pad))), axis=1, bitorder="little").view("<u8")
+    return np.packbits(signs, axis=1, bitorder="little").view("<u8")
+
+
+def pieces(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes).view("<u2").astype(np.int64)
+
+
+def radius(cosine: np.ndarray, z: float, bits: int = BITS) -> np.ndarray:
+    """How many bits a vector at least as near as this differs in, but for the tail beyond z deviations."""
+    p = np.arccos(np.clip(cosine, -1, 1)) / math.pi
+    return np.minimum(np.floor(bits * p + z * np.sqrt(bits * p * (1 - p))), bits).astype(np.int64)
+
+
+def deviations(m: np.ndarray, codes: np.ndarray, k: int, bits: int = BITS) -> float:
+    """By how many deviations the sample's near pairs differ in more bits than their cosine makes likely."""
+    if len(m) <= k:
+        return LEAST_Z
+    s = m[:LOOKED] @ m.T
+    np.fill_diagonal(s[:, : len(s)], -2)
+    near = np.argpartition(-s, min(4 * k, s.shape[1] - 1), axis=1)[:, : 4 * k]
+    i = np.repeat(np.arange(len(s)), near.shape[1])
+    j = near.ravel()
+    p = np.arccos(np.clip(s[i, j], -1, 1)) / math.pi
+    apart = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1)
+    z = (apart - bits * p) / np.sqrt(np.maximum(bits * p * (1 - p), 0.25))
+    return max(LEAST_Z, float(np.quantile(z, 1 - TAIL)))
+
+
+def first_bits(n: int, part: int) -> int:
+    """So many bits of a value that about ``part`` of n rows share them."""
+    return min(PIECE, max(0, int(math.log2(max(n, 1) / part))))
+
+
+def ring(size: int, within: int) -> np.ndarray:
+    """Numbers of ``size`` bits with at most ``within`` ones, in the order of their number."""
+    return np.array([sum(1 << b for b in c) for s in range(min(within, size) + 1) for c in combinations(range(size), s)], np.int64)
+
+
+def best(i: np.ndarray, names: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Of rows (query, name, similarity) the k best a query, of equal ones the least names; one query after the other."""
+    by = np.lexsort((names, -s, i))
+    at = i[by]
+    return by[np.arange(len(by)) - np.searchsorted(at, at) < k]
+
+
+def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    step = 1 << 16
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[i[c : c + step]].astype(np.float64), b[j[c : c + step]].astype(np.float64)) for c in range(0, len(i), step))])
+
+
+_FOUND = "query long, kind long, s double"
+
+
+def found_table(query: np.ndarray, kind: np.ndarray, s: np.ndarray) -> pa.Table:
+    return pa.table({"query": query.astype(np.int64), "kind": kind.astype(np.int64), "s": s.astype(np.float64)})
 
 
-def bounds(turned_queries: list[np.ndarray], bits: int, radius: int) -> np.ndarray:
-    """The greatest cosine that a vector whose code lies beyond the radius can have with each query."""
-    width, most = turned_queries[0].shape[1], np.full(len(turned_queries[0]), -1.0)
-    differ = -(-(radius + 1) // len(turned_queries))
-    for k, t in enumerate(turned_queries):
-        own = t[:, : min(width, bits - k * width)] ** 2
-        if differ <= own.shape[1]:
-            most = np.maximum(most, np.sqrt(np.maximum(1 - np.partition(own, differ - 1, axis=1)[:, :differ].sum(axis=1), 0)))
-    return most
+def _first_places(width: int, turned: np.ndarray, bits: int, first: int):
+    """Rows under the first bits of their values in the substrings of the first look."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = pieces(encode(matrix(batch.column(2), width), turned, bits))
+                for j in range(min(FIRST, own.shape[1])):
+                    yield pa.RecordBatch.from_arrays([pa.array((j << PIECE) | (own[:, j] >> (PIECE - first))), *batch.columns], names=["place", "kind", "asks", "v"])
+
+    return of
+
+
+def _look(width: int, k: int, names: np.ndarray, sample: np.ndarray):
+    """The first look: a query's k nearest among the rows of its place, and where those are fewer among the sample."""
+
+    def of(group: pa.Table) -> pa.Table:
+        m, kind = matrix(group.column("v"), width), column(group, "kind")
+        asks = np.flatnonzero(column(group, "asks"))
+        out = [found_table(*[np.zeros(0)] * 3)]
+        for others, ids in ((m, kind),) if len(kind) > k else ((m, kind), (sample, names)):
+            step = max(1, STRIP // max(1, len(ids)))
+            for c in range(0, len(asks), step):
+                rows = asks[c : c + step]
+                s = m[rows] @ others.T
+                s[ids == kind[rows, None]] = -2
+                if len(ids) > k:
+                    j = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
+                    i = np.repeat(rows, k)
+                else:
+                    i, j = np.repeat(rows, len(ids)), np.tile(np.arange(len(ids)), len(rows))
+                other = ids[j] != kind[i]
+                i, j = i[other], j[other]
+                out.append(found_table(kind[i], ids[j], exact(m, others, i, j)))
+        return pa.concat_tables(out)
+
+    return of
+
+
+def _index_places(width: int, turned: np.ndarray, bits: int, first: int):
+    """The index: every row once a substring, under its place."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = encode(matrix(batch.column(1), width), turned, bits)
+                own = pieces(codes)
+                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes).tobytes())]).cast(pa.binary())
+                for j in range(own.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array((j << PIECE) | (own[:, j] >> (PIECE - first))), batch.column(0), blob, batch.column(1)], names=["place", "kind", "code", "v"])
+
+    return of
+
+
+def _probe_places(width: int, turned: np.ndarray, bits: int, first: int, z: float):
+    """Queries at every place that can hold a value within their radius."""
+    values = ring(first, first)
+    ones = np.bitwise_count(values.astype(np.uint64))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pieces(encode(matrix(batch.column(2), width), turned, bits))
+            reach = radius(batch.column(1).to_numpy(), z, bits)
+            count = np.searchsorted(ones, np.minimum(reach // own.shape[1], first), side="right")
+            rows = np.repeat(np.arange(len(own)), count)
+            at = gather_ranges(np.zeros(len(own), np.int64), count)
+            for j in range(own.shape[1]):
+                place = (j << PIECE) | ((own[rows, j] >> (PIECE - first)) ^ values[at])
+                for c in range(0, len(rows), 1 << 16):
+                    part = pa.array(rows[c : c + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(place[c : c + (1 << 16)]), *batch.take(part).columns, pa.array(reach[rows[c : c + (1 << 16)]])], names=["place", "kind", "bound", "v", "reach"])
+
+    return of
 
 
 class Index:
-    """A block's codes, each substring indexed by its value."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = np.ascontiguousarray(codes)
-        pieces = self.pieces(codes)
-        self.order = np.argsort(pieces, axis=0, kind="stable").T
-        self.begin = np.stack([np.searchsorted(pieces[o, j], np.arange((1 << PIECE) + 1)) for j, o in enumerate(self.order)])
-
-    @staticmethod
-    def pieces(codes: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(codes).view("<u2").astype(np.int64)
-
-    def probe(self, codes: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(queries, rows) that agree in some substring up to the bits set in a number of the ring."""
-        pieces, n = self.pieces(codes), len(self.codes)
-        found = [np.zeros(0, np.int64)]
-        for j in range(pieces.shape[1]):
-            at = pieces[:, j, None] ^ ring
-            a = self.begin[j, at].ravel()
-            size = self.begin[j, at + 1].ravel() - a
-            query = np.repeat(np.arange(len(codes)).repeat(len(ring)), size)
-            found.append(query * n + self.order[j, gather_ranges(a, size)])
-        both = np.unique(np.concatenate(found))
-        return both // n, both % n
-
-    def hits(self, codes: np.ndarray, ring: np.ndarray) -> np.ndarray:
-        """How many rows the probes of each query meet, repeats included."""
-        pieces, total = self.pieces(codes), np.zeros(len(codes), np.int64)
-        for j in range(pieces.shape[1]):
-            at = pieces[:, j, None] ^ ring
-            total += (self.begin[j, at + 1] - self.begin[j, at]).sum(axis=1)
-        return total
-
-    def within(self, codes: np.ndarray, reach: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(queries, rows) of the least radius that holds enough, part s of radius m * (s + 1) - 1; a query that has too few up
-        to the reach, or whose probes cost more than a scan, is in no part."""
-        n, m = len(self.codes), self.begin.shape[0]
-        left, ring = np.arange(len(codes)), np.zeros(0, np.int64)
-        for s in range(PIECE + 1):
-            ring = np.concatenate([ring, np.array([sum(1 << b for b in c) for c in combinations(range(PIECE), s)], np.int64)])
-            if m * (s + 1) - 1 > reach or len(ring) * m >= n or not len(left):
-                break
-            left = left[self.hits(codes[left], ring) < n]
-            i, j = self.probe(codes[left], ring)
-            inside = np.bitwise_count(codes[left[i]] ^ self.codes[j]).sum(axis=1) <= m * (s + 1) - 1
-            i, j = i[inside], j[inside]
-            done = np.bincount(i, minlength=len(left)) >= min(enough, n)
-            mine = done[i]
-            yield left[i[mine]], j[mine]
-            left = left[~done]
-
-
-def top(index: Index, codes: np.ndarray, queries: np.ndarray, ids: np.ndarray, floats: np.ndarray, own: np.ndarray, turned: np.ndarray, bits: int, k: int, reach: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(queries' ids, ids, similarities), a query's k best one after the other, of all that the index has; ``own``: the queries' ids."""
-
-    def ranked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keep = ids[j] != own[i]
-        i, j = i[keep], j[keep]
-        s = np.concatenate([np.einsum("ij,ij->i", queries[i[c : c + (1 << 16)]], floats[j[c : c + (1 << 16)]]) for c in range(0, len(i), 1 << 16)] or [np.zeros(0, np.float32)])
-        by = np.lexsort((ids[j], -s, i))
-        i, j, s = i[by], j[by], s[by]
-        best = np.arange(len(i)) - np.searchsorted(i, i) < k
-        return i[best], j[best], s[best]
-
-    for a in range(0, len(codes), STRIP):
-        n = len(codes[a : a + STRIP])
-        left = np.ones(n, bool)
-        spun = [queries[a : a + n] @ r for r in turned]
-        for step, (i, j) in enumerate(index.within(codes[a : a + n], reach, enough)):
-            if not len(i):
+    """The rows of a place, by the values of its substring."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, back = np.unique(values, return_inverse=True)
+        self.order = np.argsort(back, kind="stable")
+        self.begin = np.searchsorted(back[self.order], np.arange(len(self.values) + 1))
+
+    def probe(self, values: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, rows) of all values at most so many bits away."""
+        near = ring(PIECE, within) if within <= 3 else None
+        if near is not None and len(near) < len(self.values):  # ask for each value; else look at all there are
+            want = (values[:, None] ^ near).ravel()
+            at = np.minimum(np.searchsorted(self.values, want), len(self.values) - 1)
+            hit = np.flatnonzero(self.values[at] == want)
+            query, at = hit // len(near), at[hit]
+        else:
+            query, at = np.nonzero(np.bitwise_count((values[:, None] ^ self.values).astype(np.uint16)) <= within)
+        size = self.begin[at + 1] - self.begin[at]
+        return np.repeat(query, size), self.order[gather_ranges(self.begin[at], size)]
+
+
+def _retrieve(width: int, turned: np.ndarray, bits: int, k: int):
+    """Of a place's rows those within each query's radius, ranked by floats; what is as near as the bound, k at most."""
+
+    def of(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = [found_table(*[np.zeros(0)] * 3)]
+        if not asked.num_rows or not held.num_rows:
+            return out[0]
+        place, block = column(held, "place"), column(held, "block")
+        q_place, q_block = column(asked, "place"), column(asked, "block")
+        m, kind = matrix(held.column("v"), width), column(held, "kind")
+        codes = np.frombuffer(b"".join(x.as_buffer() for x in held.column("code")), "<u8").reshape(len(kind), -1)
+        q, ask, bound, reach = matrix(asked.column("v"), width), column(asked, "kind"), column(asked, "bound"), column(asked, "reach")
+        q_codes = encode(q, turned, bits)
+        count = bits // PIECE
+        for p, b in {*zip(q_place.tolist(), q_block.tolist(), strict=True)}:
+            rows = np.flatnonzero((place == p) & (block == b))
+            if not len(rows):
                 continue
-            i, j, s = ranked(a + i, j)
-            last = np.full(n, -2.0)
-            full = np.bincount(i - a, minlength=n) == k
-            np.minimum.at(x := np.full(n, 2.0), i - a, s)
-            last[full] = x[full]
-            proved = last > bounds(spun, bits, index.begin.shape[0] * (step + 1) - 1) + SLACK
-            left &= ~proved
-            mine = proved[i - a]
-            yield own[i[mine]], ids[j[mine]], s[mine]
-        rest = a + np.flatnonzero(left)
-        if len(rest):
-            s = queries[rest] @ floats.T
-            s[ids == own[rest, None]] = -2
-            least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(rest), -2.0)
-            i, j = np.nonzero(s >= least[:, None] - SLACK)
-            i, j, s = ranked(rest[i], j)
-            yield own[i], ids[j], s
-
-
-def _meet(width: int, turned: np.ndarray, bits: int, k: int, reach: int, enough: int):
-    def of(group: pa.Table) -> pa.Table:
-        block, ids = group.column("block").to_numpy(), group.column("vec_id").to_numpy()
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        m = matrix(group.column("v"), width)
-        codes = encode(m, turned, bits)
-        sides = [np.flatnonzero(block == lo), np.flatnonzero(block == hi)]
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-        for a, b in ((0, 1), (1, 0)) if lo != hi else ((0, 0),):
-            left, right = sides[a], sides[b]
-            if len(left) and len(right):
-                out += top(Index(codes[right]), codes[left], m[left], ids[right], m[right], ids[left], turned, bits, k, reach, enough)
-        own, names, s = (np.concatenate([x[i] for x in out]) for i in range(3))
-        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-        cuts = pa.array(np.append(begin, len(own)), pa.int32())
-        return pa.table({"vec_id": pa.array(own[begin]), "ids": pa.ListArray.from_arrays(cuts, pa.array(names)), "s": pa.ListArray.from_arrays(cuts, pa.array(s, pa.float32()))})
+            j = p >> PIECE
+            index, mine = Index(pieces(codes[rows])[:, j]), np.flatnonzero((q_place == p) & (q_block == b))
+            own = pieces(q_codes[mine])[:, j]
+            for within in np.unique(reach[mine] // count):
+                some = np.flatnonzero(reach[mine] // count == within)
+                step = max(1, STRIP // len(rows))
+                for c in range(0, len(some), step):
+                    i, x = index.probe(own[some[c : c + step]], int(within))
+                    i, x = mine[some[c : c + step]][i], rows[x]
+                    keep = np.bitwise_count(q_codes[i, 0] ^ codes[x, 0]).astype(np.int64)
+                    for w in range(1, codes.shape[1]):
+                        keep += np.bitwise_count(q_codes[i, w] ^ codes[x, w])
+                    keep = (keep <= reach[i]) & (ask[i] != kind[x])
+                    i, x = i[keep], x[keep]
+                    s = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[i[a : a + 65536]], m[x[a : a + 65536]]) for a in range(0, len(i), 65536))])
+                    keep = s >= bound[i] - SLACK
+                    i, x = i[keep], x[keep]
+                    s = exact(q, m, i, x)
+                    top = best(i, kind[x], s, k)
+                    out.append(found_table(ask[i[top]], kind[x[top]], s[top]))
+        return pa.concat_tables(out)
 
     return of
 
 
-def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS, reach: int = REACH, enough: int = ENOUGH, block: int = BLOCK) -> DataFrame:
-    """Rows (vec_id, rank, neighbour_id, similarity): the k nearest of every row by cosine, the first at rank 1."""
-    if k < 1 or bits % 64:
-        raise ValueError("k must be positive and bits a multiple of 64")
-    own, n, width = unit_vectors(df, id_col, vector_col)
+def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS, every: int = EVERY, block: int = BLOCK, part: int = PART, first_part: int = FIRST_PART) -> DataFrame:
+    """Rows (vec_id, rank, neighbour_id, similarity): the k nearest of every query by cosine, the first at rank 1."""
+    if k < 1 or bits % 64 or every < 1:
+        raise ValueError("k and every must be positive and bits a multiple of 64")
+    own, _, width = unit_vectors(df, id_col, vector_col)
     own = materialise(own, "vectors")
-    turned = learn(own, width, bits) if n else np.zeros((0, 1, 1))
-    blocks = max(1, -(-n // block))
-    placed = own.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("vec_id", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    found = met.groupBy("lo", "hi").applyInArrow(_meet(width, turned, bits, k, reach, max(enough, k + 1)), "vec_id long, ids array<long>, s array<float>")
-    # Of every block at most k: k * blocks entries a row.
-    pairs = F.flatten(F.collect_list(F.arrays_zip("ids", "s")))
-    ranked = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.transform(pairs, lambda x: F.struct((-x["s"]).alias("s"), x["ids"].alias("id")))), 1, k).alias("best"))
-    return ranked.select("vec_id", F.posexplode("best").alias("at", "x")).select("vec_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.round((-F.col("x.s")).cast("double"), 6).alias("similarity"))
+    asks = F.pmod("vec_id", F.lit(every)) == 0
+    # Of equal vectors the k + 1 least ids; Spark keeps only so many a task before it shuffles.
+    few = own.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    members = few.groupBy("v").agg(F.min("vec_id").alias("kind"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asked = own.filter(asks).select("v").distinct().withColumn("asks", F.lit(True))
+    kinds = materialise(members.join(asked, "v", "left").select("kind", F.coalesce("asks", F.lit(False)).alias("asks"), "ids", "v"), "kinds")
+    n = kinds.count()
+    names, sample = sampled(kinds, "kind", "v", n, width, SAMPLE)
+    width = max(width, 1)
+    turned = learn(sample, width, bits)
+    z = deviations(sample, encode(sample, turned, bits), k, bits) if n else LEAST_Z
+    # The first look.
+    first = kinds.select("kind", "asks", "v").mapInArrow(_first_places(width, turned, bits, first_bits(n, first_part)), "place long, kind long, asks boolean, v array<float>")
+    sizes = kinds.select("kind", "asks", "v").mapInArrow(_first_places(width, turned, bits, first_bits(n, first_part)), "place long, kind long, asks boolean, v array<float>").groupBy("place").agg(F.count("*").alias("n"))
+    looked = _blocks(first, large(sizes, 4 * first_part), block).groupBy("place", "block").applyInArrow(lean_group(_look(width, k, names, sample)), _FOUND)
+    seen = materialise(looked.groupBy("query", "kind").agg(F.max("s").alias("s")), "seen")
+    ranked = seen.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "kind")))
+    bounds = ranked.filter(F.col("n") == k).select(F.col("query").alias("kind"), F.col("s").alias("bound"))
+    # The index and its probes.
+    t = first_bits(n, part)
+    queries = kinds.filter("asks").join(bounds, "kind", "left").select("kind", F.coalesce("bound", F.lit(-1.0)).alias("bound"), "v")
+    probes = queries.mapInArrow(_probe_places(width, turned, bits, t, z), "place long, kind long, bound double, v array<float>, reach long")
+    index = kinds.select("kind", "v").mapInArrow(_index_places(width, turned, bits, t), "place long, kind long, code binary, v array<float>")
+    hot = large(index.groupBy("place").agg(F.count("*").alias("n")), 4 * part)
+    left = _blocks(probes, hot, block, everywhere=True).groupBy("place", "block")
+    right = _blocks(index, hot, block).groupBy("place", "block")
+    met = left.cogroup(right).applyInArrow(lean_group(_retrieve(width, turned, bits, k)), _FOUND)
+    # Both together; what was seen at first counts too, though it lie beyond the radius.
+    every_ = met.unionByName(seen).groupBy("query", "kind").agg(F.max("s").alias("s"))
+    top = every_.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "kind"))).filter(F.col("n") <= k)
+    ids = kinds.select("kind", "ids")
+    others = top.join(ids, "kind").select("query", "s", F.explode("ids").alias("neighbour_id"))
+    same = kinds.filter("asks").select(F.col("kind").alias("query"), F.lit(2.0).alias("s"), F.explode("ids").alias("neighbour_id"))
+    all_ = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), F.col("neighbour_id").alias("id"))))
+    lists = others.unionByName(same).groupBy("query").agg(all_.alias("all"))
+    mine = own.filter(asks).join(kinds.filter("asks").select("v", F.col("kind").alias("query")), "v").select("vec_id", "query")
+    final = mine.join(lists, "query").select("vec_id", F.posexplode(F.slice(F.filter("all", lambda x: x["id"] != F.col("vec_id")), 1, k)).alias("at", "x"))
+    return final.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.round(F.least(-F.col("x.s"), F.lit(1.0)), 6).alias("similarity"))
+
+
+def _blocks(rows: DataFrame, hot: DataFrame | None, block: int, everywhere: bool = False) -> DataFrame:
+    """The rows with the block of their place: one for most places; of hot places by a hash of the row, or, for queries, every block."""
+    if hot is None:
+        return rows.withColumn("block", F.lit(0).cast("long"))
+    known = rows.join(hot.withColumnRenamed("place", "_p"), F.col("place") == F.col("_p"), "left").withColumn("_k", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)))
+    chosen = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)) if everywhere else F.pmod(F.xxhash64(F.lit(5), "kind"), F.col("_k"))
+    return known.withColumn("block", chosen).drop("_p", "n", "_k")

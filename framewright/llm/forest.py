@@ -1,17 +1,21 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Every tree splits the space by random directions, again and again, and rows that lie within ``SPILL`` of a split go to both
-sides, so that near pairs rarely part; what one tree parts another keeps. The upper splits, at the origin, are the same
-for all rows and depend on nothing but the tree's seed, so each row finds its places by itself and one shuffle brings the
-rows of a place together; there the tree goes on, with splits at the median, down to leaves of ``LEAF`` rows. All pairs of a
-leaf are compared by their floats, so what is linked is exact; links are united into groups.
+sides, so that near pairs rarely part; what one tree parts another keeps. The upper splits are fitted on a bounded sample of
+at most ``SAMPLE`` rows: a node splits at the median of its sample's projections, or at another of the middle quantiles where far fewer rows lie about that, and
+not at all where its sample is small or would mostly go both ways. Each row finds its places by itself and one shuffle brings the rows
+of a place together; there the tree goes on by the same rule, down to leaves of ``LEAF`` rows. All pairs of a leaf are compared by their
+floats, so what is linked is exact; links are united into classes, and within a class all pairs are verified to count them.
 
-No leaf is cut short: rows that no split can part, such as thousands of copies, are compared in strips, however many. Equal
-vectors, of which there may be any number, are one row.
+Recall: the number of trees follows from how many rows lie about the sample's splits, so that a pair at the threshold shares a leaf
+of some tree with probability ``RECALL``; nearer pairs do more surely.
 
-Defined results: rows are near when their cosine is at least the threshold; groups are the components of that relation and
-their least id stays. Rows that share an id are one. See ``unit_vectors`` for what is left out, and so has no duplicate. An
-empty table gives no rows. Other columns are not looked at.
+No leaf is cut short: rows that no split can part are compared in strips, and places of more than ``PLACE_MOST`` rows in blocks,
+however many. Equal vectors, of which there may be any number, are one row until their classes are known.
+
+Defined results: rows are near when their cosine is at least the threshold; classes are the components of that relation, named
+by their least id. Rows that share an id are one. See ``unit_vectors`` for what is left out. A vector near no other is in a class of
+its own with 0 links. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,113 +28,176 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.graph import connected_components
-from framewright.llm.simhash import least_labels
-from framewright.llm.vectors import matrix, unit_vectors
+from framewright.llm.classes import BLOCK, classed, column, dealt, large, near_pairs, stars
+from framewright.llm.common import lean, lean_group
+from framewright.llm.vectors import alike, matrix, sampled, unit_vectors
 from framewright.storage import materialise
 
 THRESHOLD = 0.95
-TREES = 6
+RECALL = 0.98
 SPILL = 0.02
 LEAF = 256
-PLACE = 4_096  # rows for which the upper splits aim
-STRIP = 512
-
-
-def direction(width: int, *path: int) -> np.ndarray:
-    v = np.random.default_rng([7, *path]).standard_normal(width).astype(np.float32)
-    return v / np.linalg.norm(v)
-
-
-def places(m: np.ndarray, tree: int, depth: int, spill: float = SPILL) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, places) that the upper splits of a tree lead to. All nodes of a level split by one direction."""
-    rows, place = np.arange(len(m)), np.zeros(len(m), np.int64)
-    for level in range(depth):
-        p = (m @ direction(m.shape[1], tree, level))[rows]
-        left, right = p < spill, p >= -spill
-        rows, place = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * place[left], 2 * place[right] + 1])
-    return rows, place
+SAMPLE = 65_536
+PLACE = 32_768  # rows for which the upper splits aim
+PLACE_MOST = 4 * PLACE
+LEAST = 32  # sampled rows of a node that splits
+BOTH = 0.35  # share of a node's rows that may go both ways
+MOST_TREES = 16
+
+
+def directions(width: int, tree: int, count: int) -> np.ndarray:
+    """A column a level."""
+    d = np.random.default_rng([7, tree]).standard_normal((width, max(count, 1))).astype(np.float32)
+    return d / np.linalg.norm(d, axis=0)
+
+
+def split(p: np.ndarray, spill: float = SPILL) -> tuple[float, float]:
+    """(where to split these projections, the share that goes both ways); NaN where no split parts them."""
+    p = np.sort(p)
+    share = np.linspace(0.3, 0.7, 17)
+    at = p[(len(p) * share).astype(np.int64)]
+    both = (np.searchsorted(p, at + spill) - np.searchsorted(p, at - spill)) / len(p)
+    k = int(np.argmin(both + np.abs(share - 0.5) / 2))
+    return (float(at[k]), float(both[k])) if both[k] <= BOTH else (math.nan, float(both[k]))
+
+
+class Tree:
+    """The upper splits: a direction a level, a place to split a node, NaN where a node doesn't split."""
+
+    def __init__(self, sample: np.ndarray, tree: int, depth: int, width: int, spill: float = SPILL):
+        self.spill, self.along, self.at, self.both = spill, directions(width, tree, depth), [], []
+        nodes = {0: np.arange(len(sample))}
+        for level in range(depth):
+            p, at, below = sample @ self.along[:, level], np.full(1 << level, np.nan), {}
+            for node, rows in nodes.items():
+                if len(rows) < LEAST:
+                    continue
+                at[node], both = split(p[rows], spill)
+                if not math.isnan(at[node]):
+                    self.both.append(both)
+                    below[2 * node], below[2 * node + 1] = rows[p[rows] < at[node] + spill], rows[p[rows] >= at[node] - spill]
+            self.at.append(at)
+            nodes = below
+
+    def places(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, places) that the splits lead to."""
+        rows, node, done = np.arange(len(m)), np.zeros(len(m), np.int64), []
+        for level, at in enumerate(self.at):
+            split_at = at[node]
+            ends = np.isnan(split_at)
+            done.append((rows[ends], node[ends] + (1 << level)))
+            rows, node, split_at = rows[~ends], node[~ends], split_at[~ends]
+            p = (m @ self.along[:, level])[rows]
+            left, right = p < split_at + self.spill, p >= split_at - self.spill
+            rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+        done.append((rows, node + (1 << len(self.at))))
+        return np.concatenate([r for r, _ in done]), np.concatenate([p for _, p in done])
+
+
+def missed(threshold: float, width: int, spill: float, both: float) -> float:
+    """Probability that a split of which this share goes both ways parts a pair at the threshold."""
+    sigma = math.sqrt(max(2 - 2 * threshold, 0) / width)
+    if not sigma:
+        return 0.0
+    x = 2 * spill / sigma
+    beyond = 2 * sigma * (math.exp(-x * x / 2) / math.sqrt(2 * math.pi) - x * math.erfc(x / math.sqrt(2)) / 2)
+    return min(0.5, max(0.0, beyond) * both / (2 * spill))
+
+
+def grown(sample: np.ndarray, n: int, width: int, threshold: float, spill: float = SPILL, recall: float = RECALL) -> list[Tree]:
+    """So many trees that a pair at the threshold shares a leaf of some with the wished probability."""
+    depth = max(0, math.ceil(math.log2(max(n, 1) / PLACE)))
+    below = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
+    first = Tree(sample, 0, depth, width, spill)
+    probe = Tree(sample, 0, min(6, below), width, spill)  # as the splits in a place will be
+    both = float(np.mean(probe.both)) if probe.both else 0.0
+    miss = 1 - (1 - missed(threshold, width, spill, both)) ** below
+    count = 1 if miss <= 0 else min(MOST_TREES, max(2, math.ceil(math.log(1 - recall) / math.log(miss)))) if miss < 1 else MOST_TREES
+    return [first, *(Tree(sample, t, depth, width, spill) for t in range(1, count))]
 
 
-def leaves(m: np.ndarray, rows: np.ndarray, path: tuple[int, ...], leaf: int = LEAF, spill: float = SPILL) -> Iterator[np.ndarray]:
+def leaves(m: np.ndarray, rows: np.ndarray, seed: int, leaf: int = LEAF, spill: float = SPILL) -> Iterator[np.ndarray]:
     """Leaves of the tree below a place."""
-    todo = [(rows, path)]
+    todo, random = [rows], np.random.default_rng([11, seed])
     while todo:
-        rows, path = todo.pop()
+        rows = todo.pop()
         if len(rows) <= leaf:
             yield rows
             continue
-        p = m[rows] @ direction(m.shape[1], *path)
-        middle = np.median(p)
-        left, right = rows[p < middle + spill], rows[p >= middle - spill]
-        if max(len(left), len(right)) > 0.9 * len(rows):
+        for _ in range(4):  # another direction may part what one does not
+            d = random.standard_normal(m.shape[1]).astype(np.float32)
+            p = m[rows] @ (d / np.linalg.norm(d))
+            at, _ = split(p, spill)
+            left, right = rows[p < at + spill], rows[p >= at - spill]
+            if not math.isnan(at) and max(len(left), len(right)) < 0.9 * len(rows):
+                todo += [left, right]
+                break
+        else:
             yield rows
-            continue
-        todo += [(left, (*path, 0)), (right, (*path, 1))]
-
 
-def links(m: np.ndarray, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, least row of its component) of the near ones of a leaf."""
-    i, j = [], []
-    for a in range(0, len(rows), STRIP):
-        part = m[rows[a : a + STRIP]] @ m[rows[a:]].T
-        x, y = np.nonzero(part >= threshold)
-        up = y > x
-        i.append(x[up] + a)
-        j.append(y[up] + a)
-    i, j = np.concatenate(i), np.concatenate(j)
-    label = least_labels(len(rows), i, j)
-    own = np.flatnonzero(label != np.arange(len(rows)))
-    return rows[own], rows[label[own]]
 
-
-def _place(width: int, trees: int, depth: int):
+def _place(width: int, trees: list[Tree]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             m = matrix(batch.column(1), width)
-            for tree in range(trees):
-                rows, place = places(m, tree, depth)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), tree), pa.int32()), pa.array(place), *batch.take(pa.array(rows)).columns], names=["tree", "place", "vec_id", "v"])
+            for k, tree in enumerate(trees):
+                rows, place = tree.places(m)
+                yield pa.RecordBatch.from_arrays([pa.array((place << 5) | k), *batch.take(pa.array(rows)).columns], names=["place", "kind", "v"])
+
+    return of
+
+
+def _counted(width: int, trees: list[Tree]):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _place(width, trees)(batches):
+            found, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["place", "n"])
 
     return of
 
 
 def _compare(width: int, threshold: float):
     def of(group: pa.Table) -> pa.Table:
-        m, ids = matrix(group.column("v"), width), group.column("vec_id").to_numpy()
-        path = (1000 + group.column("tree")[0].as_py(), group.column("place")[0].as_py())
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for rows in leaves(m, np.arange(len(m)), path):
-            x, y = links(m, rows, threshold)
-            a.append(ids[x])
-            b.append(ids[y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([hi, lo]), axis=1) if len(lo) else np.zeros((2, 0), np.int64)
-        return pa.table({"a": both[0], "b": both[1]})
+        m, ids = matrix(group.column("v"), width), column(group, "kind")
+        place, lo, hi, own = (column(group, c) for c in ("place", "lo", "hi", "own"))
+        rows, leaf = [np.flatnonzero(lo != hi)], [-1 - place[lo != hi]]
+        whole = np.flatnonzero(lo == hi)
+        whole = whole[np.lexsort((lo[whole], place[whole]))]
+        cuts = np.flatnonzero((np.diff(place[whole]) != 0) | (np.diff(lo[whole]) != 0)) + 1
+        for part in np.split(whole, cuts):
+            for found in leaves(m, part, int(place[part[0]]) if len(part) else 0):
+                leaf.append(np.full(len(found), len(rows)))
+                rows.append(found)
+        rows, leaf = np.concatenate(rows), np.concatenate(leaf)
+        pairs = near_pairs(m[rows], leaf, lo[rows], hi[rows], own[rows], lambda a, b: alike(a, b, threshold))
+        i, j = stars(len(ids), ((rows[i], rows[j]) for i, j in pairs))
+        return pa.table({"a": ids[i], "b": ids[j]})
 
     return of
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES) -> DataFrame:
-    """Rows (vec_id, duplicate_of) of every row that is not the least of its group."""
-    own, n, width = unit_vectors(df, id_col, vector_col)
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Rows (vec_id, class_id, links): the least id of a vector's class, and how many other rows are near it."""
+    own, _, width = unit_vectors(df, id_col, vector_col)
     own = materialise(own, "vectors")
-    distinct = own.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v")
-    depth = max(0, math.ceil(math.log2(max(n, 1) / PLACE)))
-    near = distinct.mapInArrow(_place(width, trees, depth), "tree int, place long, vec_id long, v array<float>").groupBy("tree", "place").applyInArrow(_compare(width, threshold), "a long, b long")
-    roots = connected_components(near)
-    equal = own.join(distinct.withColumnRenamed("vec_id", "b"), "v").select(F.col("vec_id").alias("a"), "b").filter("a <> b")
-    hung = equal.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select(F.col("a").alias("vec_id"), F.coalesce("root", "b").alias("duplicate_of"))
-    rest = roots.filter("node <> root").select(F.col("node").alias("vec_id"), F.col("root").alias("duplicate_of"))
-    return hung.unionByName(rest)
+    alike_ = own.groupBy("v").agg(F.min(F.struct("vec_id")).alias("first"), F.count("*").alias("copies"))
+    kinds = materialise(alike_.withColumn("kind", F.col("first.vec_id")), "kinds")
+    n = kinds.count()
+    trees = grown(sampled(kinds, "kind", "v", n, width, SAMPLE)[1], n, max(width, 1), threshold)
+    vectors = kinds.select("kind", "v")
+    sizes = large(vectors.mapInArrow(lean(_counted(width, trees)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")), PLACE_MOST)
+    rows = dealt(vectors.mapInArrow(lean(_place(width, trees)), "place long, kind long, v array<float>"), "place", "kind", sizes, 2.0 * n * len(trees), block)
+    edges = rows.groupBy("part").applyInArrow(lean_group(_compare(width, threshold)), "a long, b long")
+    found = classed(kinds, edges, ["vec_id"], ["v"], lambda t: matrix(t.column("v"), width), lambda a, b: alike(a, b, threshold))
+    return own.join(found, "v").select("vec_id", F.col("first_vec_id").alias("class_id"), "links")
 
 
 def near_duplicates_sql(table: str = "embeddings", id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> str:
-    """The exact groups in SQL, by comparing all pairs."""
+    """The exact classes in SQL, by comparing all pairs."""
     return f"""
-WITH RECURSIVE near AS MATERIALIZED (SELECT a.{id_col} AS a, b.{id_col} AS b FROM {table} a JOIN {table} b ON a.{id_col} <> b.{id_col} AND list_cosine_similarity(a.{vector_col}, b.{vector_col}) >= CAST({threshold!r} AS DOUBLE)),
-reach(node, root) AS (SELECT a, a FROM near UNION SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.node WHERE r.root < n.b)
-SELECT node AS vec_id, min(root) AS duplicate_of FROM reach GROUP BY node HAVING min(root) < node"""
+WITH RECURSIVE near AS MATERIALIZED (SELECT a.{id_col} AS a, b.{id_col} AS b FROM {table} a JOIN {table} b ON a.{id_col} <> b.{id_col} AND list_cosine_similarity(CAST(a.{vector_col} AS DOUBLE[]), CAST(b.{vector_col} AS DOUBLE[])) >= CAST({threshold!r} AS DOUBLE)),
+reach(node, root) AS (SELECT {id_col}, {id_col} FROM {table} UNION SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.node WHERE r.root < n.b),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1), counted AS (SELECT a, count(*) AS n FROM near GROUP BY 1)
+SELECT node AS vec_id, root AS class_id, coalesce(n, 0) AS links FROM roots LEFT JOIN counted ON a = node"""

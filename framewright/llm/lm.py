@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrays import gather_ranges, hash_spans, mix64, segment_sums, text_chunks, words
-from framewright.llm.common import partitions, settled, texts
+from framewright.llm.common import lean, lean_group, partitions, settled, texts
 from framewright.llm.eliasfano import EliasFano
 from framewright.storage import materialise, new_path
 
@@ -454,10 +454,10 @@ def score(df: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id"
     folder = new_path(spark, "lm")
     docs = settled(texts(df, id_col, text_col))
     buckets = max(partitions(spark), docs.rdd.getNumPartitions())
-    sent = [docs.mapInArrow(_count(folder, buckets, True, corpus is None, chunk_words), _SENT)]
+    sent = [docs.mapInArrow(lean(_count(folder, buckets, True, corpus is None, chunk_words)), _SENT)]
     if corpus is not None:
-        sent.append(settled(texts(corpus, id_col, text_col)).mapInArrow(_count(folder, buckets, False, True, chunk_words), _SENT))
-    served = reduce(DataFrame.unionByName, sent).groupBy("bucket").applyInArrow(_serve(folder, keep), _ANSWER)
+        sent.append(settled(texts(corpus, id_col, text_col)).mapInArrow(lean(_count(folder, buckets, False, True, chunk_words)), _SENT))
+    served = reduce(DataFrame.unionByName, sent).groupBy("bucket").applyInArrow(lean_group(_serve(folder, keep)), _ANSWER)
     answers = materialise(served, "answers")
     total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    return answers.filter("chunk >= 0").select("chunk", "level", "bucket", "rests", "shares").groupBy("chunk").applyInArrow(_score(folder, int(total), int(kinds)), _SCORES)
+    return answers.filter("chunk >= 0").select("chunk", "level", "bucket", "rests", "shares").groupBy("chunk").applyInArrow(lean_group(_score(folder, int(total), int(kinds))), _SCORES)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.arrays import pretokens, segment_sums, text_chunks
-from framewright.llm.common import int_lists, texts
+from framewright.llm.common import int_lists, lean, texts
 from framewright.llm.pieces import DEFAULT_RANKS, bpe_cache, byte_bpe
 from framewright.storage import materialise
 
@@ -146,11 +146,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     kind = "<u2" if end < 1 << 16 else "<i4"
     docs = texts(df, id_col, text_col)
     few = docs.rdd.getNumPartitions() <= BROADCAST_PARTS
-    chunks = materialise(docs.mapInArrow(_tokenise(ranks_path, end, window, kind), _CHUNK), "chunks")
+    chunks = materialise(docs.mapInArrow(lean(_tokenise(ranks_path, end, window, kind)), _CHUNK), "chunks")
     # One row a partition of the input: the second pass's prefix sum.
     totals = chunks.groupBy("part").agg(F.sum("n").alias("total"))
     bases = totals.select("part", (F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
     placed = chunks.join(F.broadcast(bases) if few else bases, "part").withColumn("offset", F.col("base") + F.col("start"))
-    whole = placed.select("offset", "n", "doc_ids", "doc_tokens", "tokens").mapInArrow(_cut(window, kind), _OUT)
+    whole = placed.select("offset", "n", "doc_ids", "doc_tokens", "tokens").mapInArrow(lean(_cut(window, kind)), _OUT)
     ends = placed.select("offset", "n", "doc_ids", "doc_tokens", "head", "tail").mapInArrow(_ends(window, kind), _FRAGMENT)
     return whole.unionByName(ends.groupBy("window_id").applyInArrow(_stitch(kind), _OUT))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewright.llm import ann, forest, lm, packing, sentencepieces, sharding, simhash, substrings, token_counts, toxicity
 from framewright.llm.common import table
@@ -50,7 +52,25 @@ def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_lm_scoring, op4_token_counts, op5_toxicity, op6_substrings, op7_packing, op8_neighbours, op9_sharding, op10_embedding_duplicates)}
+#: Of every vector three copies with its coordinates moved: two so little that they are near, one, for most vectors, not.
+_MOVED = ((1, 31, 17, 7, 0.004), (2, 13, 29, 5, 0.02), (3, 7, 11, 9, 0.03))
+
+
+def embedding_duplicates_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last operator on data that has near copies at every scale."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+    def moved(k: int, a: int, b: int, m: int, by: float) -> DataFrame:
+        shift = lambda x, i: (x.cast("double") + ((F.col("vec_id") * a + i * b) % m - m // 2) * F.lit(by)).cast("float")
+        return e.select((F.col("vec_id") + k * 10_000_000).alias("vec_id"), F.transform("embedding", shift).alias("embedding"))
+
+    return forest.near_duplicates(reduce(DataFrame.unionByName, (moved(*x) for x in _MOVED), e))
+
+
+_COPIES_SQL = " UNION ALL ".join(["SELECT vec_id, embedding FROM embeddings", *(f"SELECT vec_id + {k * 10_000_000}, list_transform(range(len(embedding)), lambda i: CAST(CAST(embedding[i + 1] AS DOUBLE) + (((vec_id * {a} + i * {b}) % {m}) - {m // 2}) * CAST({by} AS DOUBLE) AS FLOAT)) FROM embeddings" for k, a, b, m, by in _MOVED)])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_lm_scoring, op4_token_counts, op5_toxicity, op6_substrings, op7_packing, op8_neighbours, op9_sharding, op10_embedding_duplicates, embedding_duplicates_of_copies)}
 
 #: The other operators have no SQL form that is exact or quick on whole tables; tests/llm holds them to brute force.
-ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.shard_sql(), "op10_embedding_duplicates": forest.near_duplicates_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.shard_sql(), "op10_embedding_duplicates": forest.near_duplicates_sql(), "embedding_duplicates_of_copies": f"WITH copies AS ({_COPIES_SQL}) SELECT * FROM ({forest.near_duplicates_sql('copies')})"}

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from framewright.llm.arrays import PAD, gather_ranges, segment_sums, text_chunks
-from framewright.llm.common import int_lists, texts
+from framewright.llm.common import int_lists, lean, texts
 from framewright.llm.pieces import PieceCache
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -328,4 +328,4 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n = pa.array(counts, pa.int64())
                 yield pa.RecordBatch.from_arrays([own.slice(row, m), lists, n, back], names=["doc_id", "ids", "n_tokens", "decoded"])
 
-    return texts(df, id_col, text_col).mapInArrow(of, "doc_id long, ids array<int>, n_tokens long, decoded string")
+    return texts(df, id_col, text_col).mapInArrow(lean(of), "doc_id long, ids array<int>, n_tokens long, decoded string")

@@ -1,43 +1,49 @@
 """SimHash near-duplicates, found by the May-Ozerov recursion.
 
-A text's fingerprint has 256 bits, the signs of sums over its distinct pairs of neighbouring words. Two texts are near
-duplicates when their fingerprints differ in at most ``RADIUS`` bits, and groups are the components of that relation.
+A text's fingerprint has 256 bits, the signs of sums over its distinct pairs of neighbouring words, the first word with the text's
+begin being a pair too. Two texts are near duplicates when their fingerprints differ in at most ``RADIUS`` bits, and classes are
+the components of that relation.
 
 Search: a strip is a random choice of coordinates; a filter keeps the fingerprints whose bits on the strip differ from
-a random centre in a partial weight of at most ``WEIGHT``. Close fingerprints pass the same filter far more often
-than others. The first strips are a shuffle by filter; what a filter keeps is filtered again on further random strips
-while the list is long, and short lists are compared by brute force. Strips are repeated until a pair at the radius is
-met with probability ``RECALL``; nearer pairs are met more surely. Nothing is capped: every fingerprint goes through every
-strip, and within a list every pair is compared. Equal fingerprints, of which there may be any number, are one row.
-
-Defined results: case, punctuation and white space do not count. A text of fewer than ``FEW`` words has too few pairs to
-be near another and is a duplicate only of the same words, one without words of the same text. Null texts and rows with a null id take part in no group and are kept. Rows that share an id are one document
-and stay or go together. Of a group the least id stays. An empty table gives no rows. Other columns are ignored by
-``near_duplicates`` and kept by ``drop_near_duplicates``.
+a random centre in a partial weight of at most ``weight``. Close fingerprints pass the same filter far more often
+than others. What a filter keeps is filtered again on a further strip, and again, until lists are short, and short lists are
+compared by brute force. The size of the strips and the depth of the recursion follow from the number of fingerprints: ``plan`` takes
+what costs least. The whole recursion is repeated until a pair at the radius is met with probability ``RECALL``, worked out
+exactly from the filters; nearer pairs are met more surely. Nothing is capped: every fingerprint goes through every repetition,
+within a list every pair is compared, and a list that is long all the same is compared in blocks. Equal fingerprints, of which there may be
+any number, are one row. Links are counted within whole classes, also those of pairs that met in no list.
+
+Defined results: a document is an id with a text; rows that repeat both are one document, and different texts under an id are documents of
+their own, told apart by ``text_hash``, the xxhash64 of the text. Case, punctuation and white space do not count. Texts without words
+are near only if they are equal. A null text is near no other and is kept. Rows with a null id are in no class and are kept. Of a class
+the least (id, text_hash) is the representative and stays. An empty table gives no rows. Other columns are ignored by ``near_duplicates`` and
+kept by ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.graph import connected_components
-from framewright.llm.arrays import gather_ranges, hash_spans, mix64, segment_sums, text_chunks, words
-from framewright.llm.common import texts
+from framewright.llm.arrays import gather_ranges, hash_spans, mix64, text_chunks, words
+from framewright.llm.classes import BLOCK, classed, dealt, edges_of, large
+from framewright.llm.common import fresh, lean, lean_group, texts
 from framewright.storage import materialise
 
 BITS = 256
 RADIUS = 56
-STRIP = 16
-WEIGHT = 2
 RECALL = 0.95
-SHORT = 4_096
-FEW = 8
+#: (coordinates, weight) of the strips that a plan can take, and the costs it weighs: of a row in a list, of a pair of them.
+STRIPS = ((16, 2), (18, 2), (20, 2))
+DEPTH = 4
+ROW_COST, PAIR_COST = 4.0, 0.0024
 _WORDS = ["f0", "f1", "f2", "f3"]
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 _LOW = np.uint64(53)
@@ -54,7 +60,6 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     before[1:] = h[:-1]
     before[first[counts > 0]] = 0
     feature = mix64(h + before * np.uint64(0x9E3779B97F4A7C15))
-    few = np.flatnonzero(counts < FEW)
     out = np.empty((n, 4), np.uint64)
     for a in range(0, n, 2048):
         b = min(n, a + 2048)
@@ -64,16 +69,16 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         part = part[np.concatenate([[True], part[1:] != part[:-1]])] if len(part) else part
         doc = (part >> _LOW).astype(np.int64) * 256
         part &= (np.uint64(1) << _LOW) - np.uint64(1)
+        least = np.zeros(b - a, np.uint64)  # settles sums of 0, mostly alike in near texts
+        least[own > 0] = part[np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))] if len(part) else 0
         for w in range(4):
             raw = np.ascontiguousarray(mix64(part + _SEEDS[w])).view(np.uint8).reshape(-1, 8)
             sums = np.concatenate([np.bincount(doc + raw[:, k], minlength=(b - a) * 256).reshape(-1, 256).astype(np.float32) @ _BIT for k in range(8)], axis=1)
-            out[a:b, w] = np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
-    if len(few):
-        own = hash_spans(buf, offsets[:-1][few], np.diff(offsets)[few])
-        place = np.arange(len(h)) - np.repeat(first, counts)
-        with_words = counts[few] > 0
-        own[with_words] = segment_sums(mix64(h + place.astype(np.uint64)), counts)[few][with_words]
-        out[few] = mix64(own[:, None] ^ _SEEDS)
+            tied = np.unpackbits(mix64(mix64(least) ^ _SEEDS[w])[:, None].view(np.uint8), axis=1, bitorder="little")
+            out[a:b, w] = np.packbits(np.where(sums == 0, tied, sums > 0), axis=1, bitorder="little").view("<u8").ravel()
+    none = np.flatnonzero(counts == 0)
+    if len(none):
+        out[none] = mix64(hash_spans(buf, offsets[:-1][none], np.diff(offsets)[none])[:, None] ^ _SEEDS)
     return out
 
 
@@ -82,178 +87,191 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((batch.num_rows, 4), np.uint64)
         for row, buf, offsets in text_chunks(batch.column(1)):
             out[row : row + len(offsets) - 1] = fingerprints(buf, offsets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(4))], names=["doc_id", *_WORDS])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(4))], names=["doc_id", "text_hash", *_WORDS])
 
 
-def _ball(size: int, weight: int) -> np.ndarray:
-    """All numbers of ``size`` bits with at most ``weight`` ones."""
-    at = np.arange(1 << size, dtype=np.uint32)
-    return at[np.bitwise_count(at) <= weight].astype(np.int64)
+# Filters ---------------------------------------------------------------------------------------------------------
 
 
-def pass_rate(share: float, size: int = STRIP, weight: int = WEIGHT) -> float:
-    """Probability that both of a pair differing in this share of bits pass one random filter."""
-    total = 0.0
-    for d in range(weight + 1):
-        start = math.comb(size, d) / 2**size
-        stay = sum(
-            math.comb(d, i) * share**i * (1 - share) ** (d - i) * math.comb(size - d, j) * share**j * (1 - share) ** (size - d - j)
-            for i in range(d + 1) for j in range(size - d + 1) if d - i + j <= weight
-        )
-        total += start * stay
+def ball(size: int, weight: int) -> int:
+    """How many values of a strip lie within the weight of a centre."""
+    return sum(math.comb(size, i) for i in range(weight + 1))
+
+
+def met(size: int, weight: int, radius: int) -> float:
+    """Probability that two fingerprints, ``radius`` bits apart, pass a common filter of one strip.
+
+    The strip's differing bits are hypergeometric; given those, centres are independent.
+    """
+    centres, total = centres_of(size, weight), 0.0
+    for d in range(min(size, radius) + 1):
+        both = sum(math.comb(d, i) * math.comb(size - d, j) for i in range(d + 1) for j in range(size - d + 1) if max(i, d - i) + j <= weight)
+        total += math.comb(radius, d) * math.comb(BITS - radius, size - d) / math.comb(BITS, size) * (1 - (1 - both / 2**size) ** centres)
     return total
 
 
-def plan(radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
-    """(strips, centres a strip): about one filter of a strip keeps a given fingerprint."""
-    centres = round(2**STRIP / len(_ball(STRIP, WEIGHT)))
-    needed = -math.log(1 - recall) / pass_rate(radius / BITS)
-    return math.ceil(needed / centres), centres
+def centres_of(size: int, weight: int) -> int:
+    """So many that about one filter of a strip keeps a given fingerprint."""
+    return round(2**size / ball(size, weight))
+
+
+@dataclass(frozen=True)
+class Plan:
+    size: int
+    weight: int
+    depth: int
+    repeats: int
+
+    @property
+    def kept(self) -> float:
+        """The share of unlike fingerprints in a list."""
+        return (ball(self.size, self.weight) / 2**self.size) ** self.depth
+
+    def cost(self, n: float) -> float:
+        return self.repeats * (ROW_COST + PAIR_COST * n * self.kept)
+
+
+@lru_cache(maxsize=64)
+def _plans(radius: int, recall: float) -> tuple[Plan, ...]:
+    return tuple(Plan(s, w, d, math.ceil(math.log(1 - recall) / math.log1p(-(met(s, w, radius) ** d)))) for s, w in STRIPS for d in range(1, DEPTH + 1))
+
+
+def plan(n: int, radius: int = RADIUS, recall: float = RECALL) -> Plan:
+    """What costs least over n fingerprints: longer lists at first, then wider strips, then a deeper recursion."""
+    return min(_plans(radius, recall), key=lambda p: p.cost(n))
 
 
-class Strip:
-    """A strip's coordinates and, for each value of its bits, the filters that keep it."""
+class Filters:
+    """A plan's strips: the coordinates of each repetition and depth, and for each value of their bits the filters that keep it.
 
-    def __init__(self, seed: int, centres: int):
-        random = np.random.default_rng(seed)
-        self.at = random.permutation(BITS)[:STRIP]
-        self.base = random.choice(1 << STRIP, centres, replace=False)
-        value = (self.base[:, None] ^ _ball(STRIP, WEIGHT)).ravel()
-        centre = np.repeat(np.arange(centres), len(value) // centres)
+    All strips share one set of random centres; a random mask moves it anew for each.
+    """
+
+    def __init__(self, p: Plan):
+        self.plan, random = p, np.random.default_rng(1009)
+        self.centres = centres_of(p.size, p.weight)
+        base = random.choice(1 << p.size, self.centres, replace=False)
+        at = np.arange(1 << p.size, dtype=np.uint32)
+        value = (base[:, None] ^ at[np.bitwise_count(at) <= p.weight].astype(np.int64)).ravel()
+        centre = np.repeat(np.arange(self.centres, dtype=np.int32), len(value) // self.centres)
         order = np.argsort(value, kind="stable")
-        self.centres = centre[order].astype(np.int32)
-        self.begin = np.searchsorted(value[order], np.arange((1 << STRIP) + 1))
+        self.kept_by = centre[order]
+        self.begin = np.searchsorted(value[order], np.arange((1 << p.size) + 1)).astype(np.int32)
+        self.strips = np.stack([random.permutation(BITS)[: p.size * p.depth].reshape(p.depth, p.size) for _ in range(p.repeats)])
+        self.masks = random.integers(0, 1 << p.size, (p.repeats, p.depth))
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        return 1 << np.arange(self.plan.size)
 
-    def passes(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, filters) of all that pass."""
-        value = bits[:, self.at].astype(np.int64) @ (1 << np.arange(STRIP))
-        first = self.begin[value]
-        n = self.begin[value + 1] - first
-        return np.repeat(np.arange(len(value)), n), self.centres[gather_ranges(first, n)]
+    def lists(self, bits: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, lists): the lists of a repetition that the recursion brings each row to."""
+        rows, found = np.arange(len(bits)), np.full(len(bits), repeat, np.int64)
+        for strip, mask in zip(self.strips[repeat], self.masks[repeat], strict=True):
+            value = (bits[:, strip].astype(np.int64) @ self.weights)[rows] ^ mask
+            first = self.begin[value].astype(np.int64)
+            n = self.begin[value + 1] - first
+            found = np.repeat(found * self.centres, n) + self.kept_by[gather_ranges(first, n)]
+            rows = np.repeat(rows, n)
+        return rows, found
 
 
-_strips: dict[tuple[int, int], Strip] = {}
+_filters: dict[Plan, Filters] = {}
 
 
-def strip(seed: int, centres: int) -> Strip:
-    if (seed, centres) not in _strips:
-        _strips[seed, centres] = Strip(seed, centres)
-    return _strips[seed, centres]
+def filters(p: Plan) -> Filters:
+    if p not in _filters:
+        _filters.clear()
+        _filters[p] = Filters(p)
+    return _filters[p]
 
 
 def unpack(prints: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), BITS // 8), axis=1, bitorder="little")
 
 
-def brute_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows within the radius."""
-    n, left, right = len(prints), [], []
-    step = max(1, (1 << 18) // max(n, 1))
-    cols = [np.ascontiguousarray(prints[:, w]) for w in range(4)]
-    for a in range(0, n, step):
-        b = min(n, a + step)
-        d = np.zeros((b - a, n - a), np.uint16)
-        for c in cols:
-            d += np.bitwise_count(c[a:b, None] ^ c[None, a:])
-        i, j = np.nonzero(d <= radius)
-        keep = j > i
-        left.append(i[keep] + a)
-        right.append(j[keep] + a)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row of each row's component."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
-def pairs(prints: np.ndarray, radius: int = RADIUS, recall: float = RECALL, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within the radius: brute force on short lists, else the recursion."""
-    if len(prints) <= SHORT:
-        return brute_pairs(prints, radius)
-    strips, centres = plan(radius, recall)
-    bits, left, right = unpack(prints), [], []
-    for r in range(strips):
-        rows, kept = strip(seed * 1009 + r, centres).passes(bits)
-        order = np.argsort(kept, kind="stable")
-        rows, cuts = rows[order], np.flatnonzero(np.diff(kept[order])) + 1
-        for part in np.split(rows, cuts):
-            if len(part) > 1:
-                # A filter that keeps all of its list would not end the recursion.
-                i, j = pairs(prints[part], radius, recall, seed * 31 + r + 1) if len(part) < 0.5 * len(prints) else brute_pairs(prints[part], radius)
-                left.append(part[i])
-                right.append(part[j])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-    return both[0], both[1]
-
-
-GROUPED = 8  # neighbouring filters that travel as one group
-
-
-def _filter(strips: int, centres: int):
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints (..., s, 4) and (..., t, 4)."""
+    d = np.bitwise_count(a[..., :, None, 0] ^ b[..., None, :, 0]).astype(np.uint16)
+    for w in range(1, 4):
+        d += np.bitwise_count(a[..., :, None, w] ^ b[..., None, :, w])
+    return d
+
+
+PART = 4_096  # fingerprints that pass the filters at once
+
+
+def _prints(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.stack([table.column(w).to_numpy().view(np.uint64) for w in _WORDS], axis=1)
+
+
+def _filter(p: Plan):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = unpack(np.stack([batch.column(1 + w).to_numpy().view(np.uint64) for w in range(4)], axis=1))
-            for r in range(strips):
-                rows, kept = strip(r, centres).passes(bits)
-                if len(rows):
-                    out = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(kept // GROUPED + r * centres, pa.int32()), pa.array(kept, pa.int32()), *out.columns], names=["part", "filter", "doc_id", *_WORDS])
+        own = filters(p)
+        for whole in batches:
+            for a in range(0, whole.num_rows, PART):
+                batch = whole.slice(a, PART)
+                bits = unpack(_prints(batch))
+                for r in range(p.repeats):
+                    rows, found = own.lists(bits, r)
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(found), *batch.take(pa.array(rows)).columns], names=["list", "kind", *_WORDS])
 
     return of
 
 
-def _compare(radius: int, recall: float):
-    def of(group: pa.Table) -> pa.Table:
-        kept = group.column("filter").to_numpy()
-        order = np.argsort(kept, kind="stable")
-        ids = group.column("doc_id").to_numpy()[order]
-        prints = np.stack([group.column(w).to_numpy().view(np.uint64) for w in _WORDS], axis=1)[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(kept[order])) + 1, [len(kept)]])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s > 1:
-                i, j = pairs(prints[s:e], radius, recall, int(kept[order[s]]) + 7919)
-                label = least_labels(e - s, i, j)
-                own = np.flatnonzero(label != np.arange(e - s))
-                a.append(ids[s:e][own])
-                b.append(ids[s:e][label[own]])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+def _sizes(p: Plan):
+    """Rows (list, n): how many fingerprints each list has, added up as far as a task sees them."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, size = filters(p), [], 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            found, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return found, np.bincount(back, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, PART):
+                bits = unpack(_prints(whole.slice(a, PART)))
+                for r in range(p.repeats):
+                    held.append(np.unique(own.lists(bits, r)[1], return_counts=True))
+                    size += len(held[-1][0])
+                if size > 1 << 20:
+                    held = [added()]
+                    size = len(held[0][0])
+                    if size > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["list", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in added()], names=["list", "n"])
 
     return of
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """Rows (doc_id, duplicate_of) of every document that is not the least of its group."""
-    docs = texts(df, id_col, text_col).filter("doc_id is not null and text is not null")
-    prints = materialise(docs.mapInArrow(_fingerprint, "doc_id long, f0 long, f1 long, f2 long, f3 long"), "prints")
-    distinct = prints.groupBy(*_WORDS).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *_WORDS)
-    strips, centres = plan(radius, recall)
-    lists = distinct.mapInArrow(_filter(strips, centres), "part int, filter int, doc_id long, f0 long, f1 long, f2 long, f3 long")
-    near = lists.groupBy("part").applyInArrow(_compare(radius, recall), "a long, b long")
-    equal = prints.join(distinct.withColumnRenamed("doc_id", "b"), _WORDS).select(F.col("doc_id").alias("a"), "b").filter("a <> b")
-    # Members of equal fingerprints hang on their least id, so only the near pairs need rounds.
-    roots = connected_components(near)
-    hung = equal.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select(F.col("a").alias("doc_id"), F.coalesce("root", "b").alias("duplicate_of"))
-    rest = roots.filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
-    return hung.unionByName(rest).groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of")).filter("doc_id <> duplicate_of")
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """Rows (doc_id, text_hash, class_id, class_hash, links), one a document: its class's representative, and how many other documents
+    are near it."""
+    docs = texts(df, id_col, text_col).filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    words_ = ", ".join(f"{w} long" for w in _WORDS)
+    prints = materialise(docs.filter("text is not null").mapInArrow(lean(_fingerprint), f"doc_id long, text_hash long, {words_}"), "prints").distinct()
+    alike = prints.groupBy(*_WORDS).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
+    kinds = materialise(alike.withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    n = kinds.count()
+    p = plan(n, radius, recall)
+    own = kinds.select("kind", *_WORDS)
+    sizes = large(own.mapInArrow(lean(_sizes(p)), "list long, n long").groupBy("list").agg(F.sum("n").alias("n")), block)
+    rows = dealt(own.mapInArrow(lean(_filter(p)), f"list long, kind long, {words_}"), "list", "kind", sizes, n * p.repeats, block)
+    near = lambda a, b: apart(a, b) <= radius
+    edges = rows.groupBy("part").applyInArrow(lean_group(edges_of("kind", "list", _prints, near)), "a long, b long")
+    found = classed(kinds, edges, ["doc_id", "text_hash"], _WORDS, _prints, near)
+    out = prints.join(found, _WORDS).select("doc_id", "text_hash", F.col("first_doc_id").alias("class_id"), F.col("first_text_hash").alias("class_hash"), "links")
+    alone = docs.filter("text is null").select("doc_id", "text_hash").distinct()
+    return out.unionByName(alone.select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("text_hash").alias("class_hash"), F.lit(0).cast("long").alias("links")))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """The input without the rows of documents that duplicate another; columns as they are."""
-    gone = near_duplicates(df, id_col, text_col, radius, recall).select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The input without the rows of documents that are not their class's representative; columns as they are."""
+    i, h, gone_i, gone_h = (fresh(df, c) for c in ("_id", "_hash", "_gone_id", "_gone_hash"))
+    gone = near_duplicates(df, id_col, text_col, radius, recall).filter("doc_id <> class_id or text_hash <> class_hash").select(F.col("doc_id").alias(gone_i), F.col("text_hash").alias(gone_h))
+    named = df.withColumns({i: F.col(f"`{id_col}`").cast("long"), h: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    return named.join(gone, (F.col(i) == F.col(gone_i)) & (F.col(h) == F.col(gone_h)), "left_anti").drop(i, h)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.arrays import gather_ranges, hash_spans, mix64, text_chunks, words
-from framewright.llm.common import partitions, texts
+from framewright.llm.common import lean, lean_group, partitions, texts
 from framewright.storage import materialise
 
 LENGTH = 50
@@ -272,13 +272,13 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = max(1, (length + 2) // 2)
     docs = texts(df, id_col, text_col).filter("doc_id is not null and text is not null").withColumn("text_hash", F.xxhash64("text"))
     buckets = max(partitions(df.sparkSession), 2 * docs.rdd.getNumPartitions())
-    index = docs.mapInArrow(_index(buckets, length, size), _PARTS)
-    shared = index.groupBy("bucket").applyInArrow(_firsts, "doc long, key long, at int, ref long, ref_key long, ref_at int")
+    index = docs.mapInArrow(lean(_index(buckets, length, size)), _PARTS)
+    shared = index.groupBy("bucket").applyInArrow(lean_group(_firsts), "doc long, key long, at int, ref long, ref_key long, ref_at int")
     by = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
     left = docs.withColumn("part", by("doc_id")).groupBy("part")
     right = shared.withColumn("part", by("doc")).groupBy("part")
-    parsed = materialise(left.cogroup(right).applyInArrow(_parse(buckets, length, size), _SPANS), "factors")
-    repeats = parsed.filter("kind = 1").groupBy("bucket").applyInArrow(_repeats, "doc_id long, text_hash long, start int, end int, source_id long")
+    parsed = materialise(left.cogroup(right).applyInArrow(lean_group(_parse(buckets, length, size)), _SPANS), "factors")
+    repeats = parsed.filter("kind = 1").groupBy("bucket").applyInArrow(lean_group(_repeats), "doc_id long, text_hash long, start int, end int, source_id long")
     spans = parsed.filter("kind = 0").select("doc_id", "text_hash", "start", "end", "source_id").unionByName(repeats)
     # Overlapping spans become one.
     before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrays import HashIndex, gather_ranges, hash_spans, pretokens, segment_sums, text_chunks
-from framewright.llm.common import texts
+from framewright.llm.common import lean, texts
 from framewright.llm.pieces import DEFAULT_RANKS, bpe_cache, byte_bpe
 
 FREQUENT = 16_384  # entries of the broadcast table: its size never grows with the data
@@ -105,7 +105,7 @@ def _merge(k: int):
 
 def frequent_pretokens(docs: DataFrame, k: int = FREQUENT) -> list[bytes]:
     """The k most frequent pre-tokens of the whole input, by a tree of bounded summaries of its partitions."""
-    summaries = docs.select("text").mapInArrow(_summaries(k), _SUMMARY)
+    summaries = docs.select("text").mapInArrow(lean(_summaries(k)), _SUMMARY)
     parts = max(1, docs.rdd.getNumPartitions())
     while parts > 1:
         summaries = summaries.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(_merge(k), _SUMMARY)
@@ -152,4 +152,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             nulls = column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64(), mask=nulls)], names=["doc_id", "n_tokens"])
 
-    return docs.mapInArrow(count, "doc_id long, n_tokens long")
+    return docs.mapInArrow(lean(count), "doc_id long, n_tokens long")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrays import PAD, HashIndex, gather_ranges, hash_spans, segment_sums, text_chunks, words
-from framewright.llm.common import texts
+from framewright.llm.common import lean, texts
 
 ORDER = 5
 SHARE = 0.003
@@ -277,7 +277,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             s = scorer.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= threshold)], names=["doc_id", "score", "toxic"])
 
-    return docs.mapInArrow(apply, "doc_id long, score double, toxic boolean")
+    return docs.mapInArrow(lean(apply), "doc_id long, score double, toxic boolean")
 
 
 def reject(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, order: int = ORDER) -> DataFrame:
@@ -291,4 +291,4 @@ def reject(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             at = batch.schema.names.index(text_col)
             yield batch.filter(pa.array(scorer.scores(batch.column(at).cast(pa.string())) < threshold))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(lean(keep), df.schema)
