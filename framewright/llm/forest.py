@@ -34,9 +34,9 @@ from framewright.llm.vectors import alike, matrix, sampled, unit_vectors
 from framewright.storage import materialise
 
 THRESHOLD = 0.95
-RECALL = 0.98
+RECALL = 0.999
 SPILL = 0.02
-LEAF = 256
+LEAF = 1_024
 SAMPLE = 65_536
 PLACE = 32_768  # rows for which the upper splits aim
 PLACE_MOST = 4 * PLACE
