@@ -35,16 +35,17 @@ class Backend:
     def close(self) -> None:
         pass
 
-    def attempt(self, items: list[dict[str, Any]]) -> list[Any]:
+    def attempt(self, items: list[dict[str, Any]], retries: int = 0, wait: float | None = None) -> list[Any]:
         """``run``, again after waits that double where it raises; then item by item."""
-        for k in range(self.retries + 1):
+        most, first = max(self.retries, retries), self.wait if wait is None or self.retries >= retries else wait
+        for k in range(most + 1):
             try:
                 return list(self.run(items))
             except Exception as problem:
                 failure = problem
-                if k < self.retries:
-                    time.sleep(self.wait * 2**k)
-        return [failure] if len(items) == 1 else [self.attempt([x])[0] for x in items]
+                if k < most:
+                    time.sleep(first * 2**k)
+        return [failure] if len(items) == 1 else [self.attempt([x], retries, wait)[0] for x in items]
 
 
 class FunctionBackend(Backend):
@@ -81,7 +82,7 @@ def backend_of(scope: str, backend: Backend | None) -> Backend:
     return found
 
 
-def infer(misses: DataFrame, backend: Backend, inputs: dict[str, Column], batch_size: int, text: bool = True) -> DataFrame:
+def infer(misses: DataFrame, backend: Backend, inputs: dict[str, Column], batch_size: int, text: bool = True, retries: int = 0, wait: float | None = None) -> DataFrame:
     """Rows (_key, value) of what the backend gives for each row; failures are left out."""
     items = misses.select("_key", *(c.alias(n) for n, c in inputs.items()))
 
@@ -94,7 +95,7 @@ def infer(misses: DataFrame, backend: Backend, inputs: dict[str, Column], batch_
                     if not opened:
                         backend.open()
                         opened = True
-                    out = backend.attempt(part.drop(columns="_key").to_dict("records"))
+                    out = backend.attempt(part.drop(columns="_key").to_dict("records"), retries, wait)
                     kept = [(k, v) for k, v in zip(part["_key"], out, strict=True) if not isinstance(v, Exception)]
                     for v in (v for v in out if isinstance(v, Exception)):
                         log.warning("a result failed: %s", v)

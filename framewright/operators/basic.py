@@ -8,27 +8,35 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.frame import POS, SRC, aspect_ratio, in_order, order_columns, prop, visible, with_positions
-from framewright.functions.strings import elide
+from framewright.functions.keys import memo_key_column
+from framewright.functions.strings import elide, extension
 from framewright.plans.operator import Abort, Operator
-from framewright.sources.images import read_images
+from framewright.sources.images import FACTS, list_images, read_facts
 
 log = logging.getLogger("framewright")
 
 
 class Load(Operator):
-    """All JPEG, PNG and WEBP images below a folder, by path."""
+    """All JPEG, PNG and WEBP images below a folder, by path.
+
+    What a file holds is kept in the memo store under its path, also that it is no image; only files that are new are read.
+    """
 
     def __init__(self, folder: str):
         super().__init__()
         self.folder = folder
 
     def eval(self) -> DataFrame:
-        return read_images(self.workspace.spark, self.folder)
+        spark = self.workspace.spark
+        files = list_images(spark, self.folder)
+        known = self.workspace.memo.fill(files, memo_key_column("load", F.col("original_path")), lambda misses: read_facts(spark, self.folder, misses), "_facts", FACTS, scope="load")
+        return with_positions(known.filter("_facts is not null").select("original_path", "_facts.objectid", extension(F.col("original_path")).alias("ext"), "_facts.width", "_facts.height", "_facts.format"), "original_path")
 
 
 class From(Operator):
@@ -77,8 +85,6 @@ def _batches(function: Callable[[Any], Any], many: bool):
         for frame in frames:
             rows = [function(row) for row in frame.itertuples(index=False)]
             if many:
-                import pandas as pd
-
                 yield pd.DataFrame([dict(r._asdict() if hasattr(r, "_asdict") else r) for r in rows], columns=frame.columns)
             else:
                 yield frame[[bool(r) for r in rows]]
@@ -166,7 +172,11 @@ class MapCaption(Operator):
         dataset = prop(dataset, "caption", "string")
         function = self.function
         if self.rows:
-            mapped = F.pandas_udf(lambda captions: captions.map(lambda c: function(c) if c else c), T.StringType(), F.PandasUDFType.SCALAR)
+
+            @F.pandas_udf(T.StringType())
+            def mapped(captions: pd.Series) -> pd.Series:
+                return captions.map(lambda c: function(c) if c else c)
+
             new = mapped("caption")
         else:
             new = function(F.col("caption"))
@@ -200,11 +210,11 @@ class Fail(Operator):
 
 
 class Info(Operator):
-    """Print each row's properties; long lists are cut in their middle."""
+    """Print each row's properties, of all rows, one partition after the other; long lists are cut in their middle."""
 
-    def __init__(self, include_hidden_properties: bool = False, rows: int = 100):
+    def __init__(self, include_hidden_properties: bool = False):
         super().__init__()
-        self.hidden, self.rows = include_hidden_properties, rows
+        self.hidden = include_hidden_properties
 
     def table(self, dataset: DataFrame) -> DataFrame:
         shown = visible(dataset, self.hidden)
@@ -212,7 +222,10 @@ class Info(Operator):
         return in_order(dataset).select(*(elide(F.col(c), 50).alias(c) if c in lists else F.col(c) for c in shown))
 
     def eval(self, dataset: DataFrame) -> DataFrame:
-        self.table(dataset).show(self.rows, truncate=False, vertical=True)
+        for n, row in enumerate(self.table(dataset).toLocalIterator()):
+            print(f"image {n}")
+            for name, value in row.asDict().items():
+                print(f"  {name}: {value}")
         return dataset
 
 
@@ -224,11 +237,15 @@ class Sorted(Operator):
         self.key, self.reverse = key, reverse
 
     def eval(self, dataset: DataFrame) -> DataFrame:
+        return self.ordered(dataset)
+
+    def ordered(self, dataset: DataFrame, first: int | None = None) -> DataFrame:
+        """The rows in their order, or the first n of them, which needs no sort of all."""
         key = F.col(self.key) if isinstance(self.key, str) else self.key
         ranked = dataset.withColumn("_key", key)
         keys = [F.col("_key").desc_nulls_last() if self.reverse else F.col("_key").asc_nulls_last(), *map(F.col, order_columns(dataset))]
-        ordered = ranked.orderBy(*keys)
-        return ordered.drop(SRC, "_key").withColumn(POS, F.monotonically_increasing_id())
+        out = ranked.orderBy(*keys)
+        return (out if first is None else out.limit(first)).drop(SRC, "_key").withColumn(POS, F.monotonically_increasing_id())
 
 
 class Take(Operator):
@@ -243,6 +260,8 @@ class Take(Operator):
     def eval(self, dataset: DataFrame) -> DataFrame:
         keys = order_columns(dataset)
         if not self.random:
+            if len(self.sources) == 1 and isinstance(self.sources[0], Sorted):  # a top n instead of a sort of all
+                return self.sources[0].ordered(self.sources[0].sources[0].dataset(), self.n)
             return dataset.orderBy(*keys).limit(self.n)
         lot = F.sha2(F.concat_ws("|", F.lit(str(self.seed)), *(F.col(k).cast("string") for k in keys)), 256)
         drawn = dataset.orderBy(lot, *keys).limit(self.n)

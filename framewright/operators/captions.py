@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from framewright.frame import POS, SRC, order_columns, prop, with_positions
 from framewright.functions.keys import memo_key_column
 from framewright.functions.strings import clean_caption
+from framewright.models.codec import apply_pixels
 from framewright.models.runner import Backend, backend_of, infer
 from framewright.plans.operator import Operator
 
@@ -22,6 +23,14 @@ def with_instructions(prompt: str, instructions: str | None) -> str:
     return f"{prompt}\n\n{instructions}" if instructions else prompt
 
 
+def repainted(rows: DataFrame, change) -> DataFrame:
+    """Rows whose contents are changed for a model; their identity is still that of the images."""
+    if "content" not in rows.columns:
+        return rows
+    own = rows.select("_key", F.col("objectid").alias("_own"), "content", *(c for c in rows.columns if c not in ("_key", "objectid", "content", "format", "error")))
+    return apply_pixels(own, change, F.struct(F.lit(1).alias("_")), F.lit(True)).withColumnRenamed("_own", "objectid")
+
+
 def _has_text(c: Column) -> Column:
     return F.coalesce(F.length(c) > 0, F.lit(False))
 
@@ -30,6 +39,7 @@ class ModelCaption(Operator):
     """Base of the captioning operators: ``scope`` and ``version`` name the model in the memo key."""
 
     scope, version, batch_size = "caption", "v1", 1
+    retries, wait = 0, 2.0  # of a batch that fails, beyond the backend's own
 
     def __init__(self, target_prop: str = "caption", prompt: str | None = None, instructions: str | None = None, batch_size: int | None = None, parallel: int | None = None, backend: Backend | None = None):
         super().__init__()
@@ -42,6 +52,10 @@ class ModelCaption(Operator):
     def finish(self, value: Column) -> Column:
         return value
 
+    def prepared(self, misses: DataFrame) -> DataFrame:
+        """The rows with their contents as the model is to see them; what can't be decoded stays as it is."""
+        return misses
+
     def eval(self, dataset: DataFrame) -> DataFrame:
         key = memo_key_column(self.scope, *self.segments(), F.col("objectid"))
         inputs = {"objectid": F.col("objectid"), "prompt": F.lit(self.prompt), "scope": F.lit(self.scope)}
@@ -51,10 +65,10 @@ class ModelCaption(Operator):
             inputs["path"] = F.col("original_path")
 
         def work(misses: DataFrame) -> DataFrame:
-            found = infer(misses, backend_of(self.scope, self.backend), inputs, self.batch)
+            found = infer(self.prepared(misses), backend_of(self.scope, self.backend), inputs, self.batch, retries=self.retries, wait=self.wait)
             return found.withColumn("value", self.finish(F.col("value")))
 
-        return self.workspace.memo.fill(dataset, key, work, self.target)
+        return self.workspace.memo.fill(dataset, key, work, self.target, scope=self.scope)
 
 
 def _refused_to_null(value: Column, phrases: tuple[str, ...] = ("i'm sorry", "i can't assist", "i cannot assist")) -> Column:
@@ -71,9 +85,10 @@ class GPT4oCaption(ModelCaption):
 
 
 class GeminiCaption(ModelCaption):
-    """A backend for a service with quotas sets ``retries`` to 10, and ``wait`` to 2 seconds, which double."""
+    """A failed batch is tried again up to 10 times, after waits that double."""
 
     scope, version, batch_size = "gemini-2.0-flash", "v2", 2
+    retries = 10
 
 
 class LlamaCaption(ModelCaption):
@@ -84,10 +99,19 @@ class LlamaCaption(ModelCaption):
 
 
 class QwenVLCaption(ModelCaption):
-    """Images are to be handed to the model with their shorter side at 768."""
+    """The model sees images with their shorter side at 768."""
 
     scope, short_edge = "qwen-vl", 768
 
+    def prepared(self, misses: DataFrame) -> DataFrame:
+        edge = self.short_edge
+
+        def scaled(codec, pixels, _):
+            h, w = pixels.shape[:2]
+            return codec.resize(pixels, edge, int(h * (edge / w))) if w < h else codec.resize(pixels, int(w * (edge / h)), edge)
+
+        return repainted(misses, scaled)
+
 
 class Gemma3Caption(ModelCaption):
     scope = "gemma3-12b-it"
@@ -98,10 +122,19 @@ class MolmoCaption(ModelCaption):
 
 
 class XGenMMCaption(ModelCaption):
-    """Images are to be cut by 5 % at the top and 9 % at the bottom; output ends at its end mark."""
+    """The model sees images without 5 % at the top and 9 % at the bottom; output ends at its end mark."""
 
     scope, batch_size, margins, end = "xgen-mm", 4, (0.05, 0.09), "<|end|>"
 
+    def prepared(self, misses: DataFrame) -> DataFrame:
+        top, bottom = self.margins
+
+        def cut(codec, pixels, _):
+            h = pixels.shape[0]
+            return codec.crop(pixels, 0, int(h * top), pixels.shape[1], max(1, h - int(h * top) - int(h * bottom)))
+
+        return repainted(misses, cut)
+
     def finish(self, value: Column) -> Column:
         return F.trim(F.substring_index(value, self.end, 1))
 
@@ -204,7 +237,7 @@ class LLMCaptionTransform(Operator):
         prompt = self.prompt if isinstance(self.prompt, Column) else self.prompt(dataset)
         key = memo_key_column("llm", self.model, {"temperature": self.temperature}, prompt)
         inputs = {"prompt": prompt, "model": F.lit(self.model), "temperature": F.lit(self.temperature)}
-        return self.workspace.memo.fill(dataset, key, lambda m: infer(m, backend_of("llm", self.backend), inputs, self.parallel), self.target)
+        return self.workspace.memo.fill(dataset, key, lambda m: infer(m, backend_of("llm", self.backend), inputs, self.parallel), self.target, scope="llm")
 
 
 def variation_rows(df: DataFrame, variations: int, target: str = "caption") -> DataFrame:
@@ -238,5 +271,5 @@ class LLMCaptionVariations(Operator):
         key = memo_key_column("llm", self.model, facts, F.col(self.target))
         prompt = F.concat(F.lit(with_instructions("Say the same as this caption in other words.", self.instructions) + "\n\n"), F.col(self.target))
         inputs = {"prompt": prompt, "model": F.lit(self.model), "temperature": F.lit(self.temperature), "variation": F.col("_variation")}
-        made = self.workspace.memo.fill(rows, key, lambda m: infer(m, backend_of("llm", self.backend), inputs, self.parallel), "_varied")
+        made = self.workspace.memo.fill(rows, key, lambda m: infer(m, backend_of("llm", self.backend), inputs, self.parallel), "_varied", scope="llm")
         return _after(dataset, made.withColumn(self.target, F.col("_varied")).drop("_varied"))

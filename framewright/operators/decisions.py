@@ -39,7 +39,7 @@ class _Reviewed(Operator):
         self.domain, self.skip_ui = domain, skip_ui
 
     def attach(self, dataset: DataFrame, target: str) -> DataFrame:
-        return lookup(dataset, self.workspace.memo.entries(), memo_key_column(self.scope, F.col("objectid")), self.domain, KINDS[self.scope], target)
+        return lookup(dataset, self.workspace.memo.entries(self.scope), memo_key_column(self.scope, F.col("objectid")), self.domain, KINDS[self.scope], target)
 
     def undecided(self, dataset: DataFrame) -> DataFrame:
         raise NotImplementedError

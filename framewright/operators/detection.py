@@ -29,7 +29,7 @@ class _Derived(Operator):
     def derive(self, dataset: DataFrame, target: str, *segments) -> DataFrame:
         inputs = {c: F.col(c) for c in ("objectid", "content", "original_path") if c in dataset.columns}
         key = memo_key_column(self.scope, *segments, F.col("objectid"))
-        return self.workspace.memo.fill(dataset, key, lambda m: infer(m, backend_of(self.scope, self.backend), inputs, self.batch, text=False), target, self.kind)
+        return self.workspace.memo.fill(dataset, key, lambda m: infer(m, backend_of(self.scope, self.backend), inputs, self.batch, text=False), target, self.kind, scope=self.scope)
 
 
 class ClipEmbed(_Derived):
@@ -112,15 +112,16 @@ def decode_heatmap(heat: np.ndarray, scale: np.ndarray, offset: np.ndarray, widt
 def suppress(boxes: np.ndarray, limit: float = 0.3) -> np.ndarray:
     """Indices, ascending, of what greedy suppression keeps: best score first (of equal ones the first), gone what overlaps a kept one by ``limit``."""
     order, gone = np.argsort(-boxes[:, 4], kind="stable"), np.zeros(len(boxes), bool)
-    area = (boxes[:, 2] - boxes[:, 0] + 1) * (boxes[:, 3] - boxes[:, 1] + 1)
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
     for n, i in enumerate(order):
         if gone[i]:
             continue
         rest = order[n + 1 :]
-        w = np.minimum(boxes[i, 2], boxes[rest, 2]) - np.maximum(boxes[i, 0], boxes[rest, 0]) + 1
-        h = np.minimum(boxes[i, 3], boxes[rest, 3]) - np.maximum(boxes[i, 1], boxes[rest, 1]) + 1
+        w = np.minimum(boxes[i, 2], boxes[rest, 2]) - np.maximum(boxes[i, 0], boxes[rest, 0])
+        h = np.minimum(boxes[i, 3], boxes[rest, 3]) - np.maximum(boxes[i, 1], boxes[rest, 1])
         both = np.maximum(w, 0) * np.maximum(h, 0)
-        gone[rest[both / (area[i] + area[rest] - both) >= limit]] = True
+        whole = area[i] + area[rest] - both
+        gone[rest[(whole > 0) & (both >= limit * whole)]] = True  # boxes without area overlap none
     return np.flatnonzero(~gone)
 
 
@@ -140,30 +141,39 @@ def _suppressed(faces: pd.Series) -> pd.Series:
     return faces.map(one)
 
 
+def box_mean(part: np.ndarray, high: int, wide: int) -> np.ndarray:
+    """Means over a window of so many pixels about each, the picture mirrored at its edges."""
+    out = part.astype(np.float64)
+    for axis, size in ((0, max(1, high)), (1, max(1, wide))):
+        before = size // 2
+        pads = [(before, size - 1 - before) if k == axis else (0, 0) for k in range(out.ndim)]
+        total = np.cumsum(np.insert(np.pad(out, pads, mode="reflect" if out.shape[axis] > size else "symmetric"), 0, 0, axis=axis), axis=axis)
+        n = out.shape[axis]
+        out = (np.take(total, np.arange(n) + size, axis) - np.take(total, np.arange(n), axis)) / size
+    return np.rint(out).astype(part.dtype)
+
+
 def cover(pixels: np.ndarray, boxes: list, method: str, ellipse: bool, mosaic: int) -> np.ndarray:
-    """Pixels with the boxes (x1, y1, x2, y2) blurred, blackened or in mosaic."""
+    """Pixels with the boxes (x1, y1, x2, y2) blurred, blackened or in mosaic. An ellipse bounds only what is blurred."""
     out = pixels.copy()
     for b in boxes:
         x1, y1, x2, y2 = (int(b[k]) for k in ("x1", "y1", "x2", "y2"))
-        part = out[y1 : y2 + 1, x1 : x2 + 1]
-        h, w = part.shape[:2]
-        if not h or not w or method == "none":
-            continue
         if method == "solid":
-            new = np.zeros_like(part)
+            out[y1 : y2 + 1, x1 : x2 + 1] = 0
         elif method == "mosaic":
-            new = part[(np.arange(h) // mosaic * mosaic)][:, np.arange(w) // mosaic * mosaic]
-        else:
-            new = part.astype(np.float64)
-            for axis, size in ((0, max(1, h // 2)), (1, max(1, w // 2))):
-                total = np.cumsum(np.insert(np.pad(new, [(size, size) if k == axis else (0, 0) for k in range(3)], mode="edge"), 0, 0, axis=axis), axis=axis)
-                n = new.shape[axis]
-                new = (np.take(total, np.arange(n) + 2 * size + 1, axis) - np.take(total, np.arange(n), axis)) / (2 * size + 1)
-            new = np.rint(new).astype(np.uint8)
-        inside = np.ones((h, w), bool)
-        if ellipse and method != "mosaic":
-            inside = ((np.arange(w) - (w - 1) / 2) / (w / 2)) ** 2 + (((np.arange(h) - (h - 1) / 2) / (h / 2)) ** 2)[:, None] <= 1
-        out[y1 : y2 + 1, x1 : x2 + 1][inside] = new[inside]
+            for y in range(y1, y2, mosaic):
+                for x in range(x1, x2, mosaic):
+                    out[y : min(y2, y + mosaic - 1) + 1, x : min(x2, x + mosaic - 1) + 1] = out[y, x].copy()
+        elif method == "blur" and x2 > x1 and y2 > y1:
+            part = out[y1:y2, x1:x2]
+            h, w = part.shape[:2]
+            new = box_mean(part, h // 2, w // 2)
+            if ellipse:
+                ry, rx = max(h // 2, 1), max(w // 2, 1)
+                inside = ((np.arange(w) - w // 2) / rx) ** 2 + (((np.arange(h) - h // 2) / ry) ** 2)[:, None] < 1
+                part[inside] = new[inside]
+            else:
+                out[y1:y2, x1:x2] = new
     return out
 
 

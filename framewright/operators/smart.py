@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from framewright.functions.keys import memo_key_column
 from framewright.operators.decisions import HumanFilter, keep_passed
 from framewright.plans.operator import Abort
 from framewright.sources.memo import lookup
+from framewright.storage import exists
 
 
 def verdict(probability: Column, min_confidence: float) -> Column:
@@ -37,7 +39,10 @@ def in_training(share: float = 0.8) -> Column:
 
 
 class SmartHumanFilter(HumanFilter):
-    """``learning_rate``, ``patience`` and ``dropout`` are part of the model's key; the solver used here has no such settings."""
+    """A fitted model is kept in the workspace by its settings and the decisions it was fitted on, and used again while those stay.
+
+    ``learning_rate``, ``patience`` and ``dropout`` are part of the model's key; the solver used here has no such settings.
+    """
 
     def __init__(self, domain: str = "default", model_version: str = "v1", min_images: int = 5000, min_per_class: int = 1000, learning_rate: float = 1e-3, batch_size: int = 128, epochs: int = 500, patience: int = 20, dropout: float = 0.5, min_confidence: float = 0.7, min_accuracy: float = 0.9, when_uncertain: str = "reject", vector: str = "clip"):
         super().__init__(domain, True)
@@ -50,6 +55,12 @@ class SmartHumanFilter(HumanFilter):
     def key(self) -> Column:
         return memo_key_column("smartfilter", json.dumps(self.facts, sort_keys=True), F.col("objectid"))
 
+    def model_path(self, decided: DataFrame) -> str:
+        """Where the model of these decisions lies: they are told apart by the sums of their hashes, in any order."""
+        n, total = decided.agg(F.count("*"), F.sum(F.xxhash64("objectid", "passed_human_filter", self.vector).cast("decimal(38,0)"))).first()
+        facts = json.dumps([self.facts, self.domain, self.vector, self.epochs, n, str(total)], sort_keys=True)
+        return f"{self.workspace.path}/models/smartfilter-{hashlib.sha256(facts.encode()).hexdigest()}"
+
     def train(self, seen: DataFrame):
         decided = seen.filter("passed_human_filter is not null").withColumn("label", F.col("passed_human_filter").cast("double")).withColumn("features", array_to_vector(F.col(self.vector).cast("array<double>")))
         counts = {bool(r.passed_human_filter): r["count"] for r in decided.groupBy("passed_human_filter").count().collect()}
@@ -60,7 +71,12 @@ class SmartHumanFilter(HumanFilter):
         rare, ratio = (counts[True] < counts[False]), max(counts.values()) / min(counts.values())
         more = train.filter(F.col("passed_human_filter") == rare).sample(True, ratio - 1, 17) if ratio > 1 else train.limit(0)
         width = len(decided.first()[self.vector])
-        model = MultilayerPerceptronClassifier(layers=[width, 128, 64, 32, 2], maxIter=self.epochs, blockSize=self.batch_size, seed=17).fit(train.unionByName(more).select("features", "label"))
+        path = self.model_path(decided)
+        if exists(self.workspace.spark, path):
+            model = MultilayerPerceptronClassificationModel.load(path)
+        else:
+            model = MultilayerPerceptronClassifier(layers=[width, 128, 64, 32, 2], maxIter=self.epochs, blockSize=self.batch_size, seed=17).fit(train.unionByName(more).select("features", "label"))
+            model.write().overwrite().save(path)
         hit = model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
         if hit < self.min_accuracy:
             raise Abort(f"the filter is right in {hit:.1%} of held-out decisions; {self.min_accuracy:.1%} are asked for")
@@ -72,13 +88,13 @@ class SmartHumanFilter(HumanFilter):
         if dataset.count() < self.min_images:
             raise Abort(f"SmartHumanFilter needs {self.min_images} images")
         seen = self.attach(dataset, "passed_human_filter").drop("_cached")
-        found = lookup(seen, self.workspace.memo.entries(), self.key(), self.domain, "boolean", "passed_smart_filter")
+        found = lookup(seen, self.workspace.memo.entries("smartfilter"), self.key(), self.domain, "boolean", "passed_smart_filter")
         todo = found.filter("passed_human_filter is null and not _cached").dropDuplicates(["objectid"])
         if not todo.isEmpty():
             scored = self.train(seen).transform(todo.withColumn("features", array_to_vector(F.col(self.vector).cast("array<double>"))))
             sure = scored.withColumn("_v", verdict(vector_to_array("probability")[1], self.min_confidence)).filter("_v is not null")
             self.workspace.memo.put(sure.select(self.key().alias("key"), F.lit(self.domain).alias("domain"), F.col("_v").cast("string").alias("value")))
-            found = lookup(seen, self.workspace.memo.entries(), self.key(), self.domain, "boolean", "passed_smart_filter")
+            found = lookup(seen, self.workspace.memo.entries("smartfilter"), self.key(), self.domain, "boolean", "passed_smart_filter")
         found = found.drop("_cached")
         if self.when_uncertain == "human":
             self.demand(found.filter("passed_human_filter is null and passed_smart_filter is null"))

@@ -79,7 +79,7 @@ class Operator(metaclass=OperatorMeta):
                 seen = Observation(f"{self.name}-{len(done)}")
                 out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
                 self.workspace.observations[self] = (seen, time.monotonic() - start)
-            if len(self.sinks) > 1:
+            if len(self.sinks) > 1 and self.workspace.sharing:
                 out = out.persist()
                 self.workspace.persisted.append(out)
             done[self] = out

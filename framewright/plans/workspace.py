@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from pathlib import Path
 from typing import TYPE_CHECKING
 
@@ -19,12 +20,13 @@ log = logging.getLogger("framewright")
 class Workspace:
     """``with Workspace(spark, folder) as w: Load("in") >> Save(); w.run()``.
 
-    The folder can be any path that Spark reads and writes. Workspaces nest; operators belong to the innermost.
+    The folder can be any path that Spark reads and writes. Workspaces nest; operators belong to the innermost. With ``sharing``, a
+    dataset that several operators read is kept until the workspace closes; a result that outlives it needs it off.
     """
 
     _stack: list[Workspace] = []
 
-    def __init__(self, spark: SparkSession | None = None, path: str | None = None, observing: bool = False):
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None, observing: bool = False, sharing: bool = True):
         from framewright.sources.memo import MemoStore
         from framewright.sources.objects import ObjectStore
         from framewright.storage import new_path
@@ -34,14 +36,14 @@ class Workspace:
         self.operators: list[Operator] = []
         self.results: dict[Operator, DataFrame] = {}
         self.persisted: list[DataFrame] = []
-        self.observing = observing
+        self.observing, self.sharing = observing, sharing
         self.observations: dict = {}
         self.memo = MemoStore(self.spark, f"{self.path}/memo")
         self.objects = ObjectStore(self.spark, f"{self.path}/objects")
 
     def resolve(self, path: str) -> str:
         """A path relative to the workspace."""
-        return path if Path(path).is_absolute() or "://" in path else f"{self.path}/{path}"
+        return path if Path(path).is_absolute() or re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path) else f"{self.path}/{path}"
 
     @classmethod
     def current(cls) -> Workspace:

@@ -17,15 +17,15 @@ from framewright.nodes import (
     Concat, ExactDedupe, Filter, FilterByAspectRatio, FilterBySize, From, Map, MapCaption, Passthrough, Set, SetCaption, Shuffle, Sleep, Sorted, Take, Workspace,
 )
 from framewright.operators.captions import caption_variations, one_prompt
-from framewright.operators.decisions import acceptance_stats, apply_captions, apply_tag_records, keep_passed
+from framewright.operators.decisions import acceptance_stats, apply_captions, apply_tag_records
 from framewright.operators.dedupe import cluster_stats, exact_dedupe, fuzzy_clusters, fuzzy_dedupe
 from framewright.operators.detection import linear_score, suppressed
 from framewright.operators.scaling import convert_format, crop_to_aspect, downscale, upscale
 from framewright.operators.smart import combine, confusion, verdict
 from framewright.operators.tagging import tag_frequencies
-from framewright.sources.memo import latest, lookup, matching, upsert
+from framewright.sources.memo import latest, lookup, matching
 from framewright.sources.save import manifest
-from framewright.similarity import hashed_pairs
+from framewright.similarity import vector_classes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,16 +65,6 @@ def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*_IMAGE, "aesthetic_score", "caption")
 
 
-@query("SELECT doc_id, sha256(text) AS objectid FROM documents")
-def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.documents(spark, sf_dir).select("doc_id", "objectid")
-
-
-@query("SELECT sha256(text) AS objectid, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
-def put_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.documents(spark, sf_dir).groupBy("objectid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
-
-
 @query(f"""WITH {V.IMAGES_SQL}, named AS (SELECT *, regexp_extract(original_path, '([^/]*)\\.png$', 1)[:80] || '_' || objectid AS stem FROM images),
 counted AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY _pos) - 1 AS k FROM named)
 SELECT original_path, objectid, stem || CASE WHEN k > 0 THEN '_' || CAST(k AS VARCHAR) ELSE '' END || ext AS file FROM counted""")
@@ -100,16 +90,6 @@ def filter_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piped(spark, V.images(spark, sf_dir), lambda: Filter((F.col("aesthetic_score") > 950) & (F.col("format") != "WEBP"))).select(*_IMAGE)
 
 
-@query(f"WITH {V.REVIEWED_SQL} SELECT doc_id, objectid FROM reviewed WHERE coalesce(passed, true)")
-def human_filter_skip_ui(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.reviewed(spark, sf_dir).filter(keep_passed(F.col("passed"), True)).select("doc_id", "objectid")
-
-
-@query(f"WITH {V.REVIEWED_SQL} SELECT doc_id, objectid FROM reviewed WHERE coalesce(passed, false)")
-def human_filter_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.reviewed(spark, sf_dir).filter(keep_passed(F.col("passed"), False)).select("doc_id", "objectid")
-
-
 @query(f"WITH {V.REVIEWED_SQL} SELECT count(*) AS total, count(passed) AS decided, CAST(sum(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS accepted FROM reviewed")
 def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acceptance_stats(V.reviewed(spark, sf_dir), "passed").select("total", "decided", "accepted")
@@ -263,10 +243,10 @@ def fuzzy_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_stats(fuzzy_clusters(_vectors(spark, sf_dir), THRESHOLD)).withColumn("mean_size", F.round("mean_size", 6))
 
 
-@query()
-def fuzzy_pairs_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By locality-sensitive hashing: what is found depends on its tables; what is kept is exact."""
-    return hashed_pairs(_vectors(spark, sf_dir), "objectid", "clip", THRESHOLD)
+@query(f"{_CLUSTERS_SQL}, linked AS (SELECT a, count(*) AS n FROM near GROUP BY 1) SELECT printf('%08d', node) AS objectid, printf('%08d', root) AS root, coalesce(n, 0) AS links FROM roots LEFT JOIN linked ON a = node")
+def fuzzy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector: its class and how many others are like it."""
+    return vector_classes(_vectors(spark, sf_dir), "objectid", "clip", THRESHOLD)
 
 
 @query(f"WITH {V.IMAGES_SQL} SELECT {_COLS}, aesthetic_score FROM images ORDER BY aesthetic_score DESC, _pos LIMIT 50")
@@ -292,12 +272,10 @@ def shuffle_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type, value FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, event_type, value FROM events WHERE value > 100")
 def branch_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.table(spark, sf_dir, "events").withColumn("_pos", F.col("event_id"))
-    with Workspace(spark) as w:
+    with Workspace(spark, sharing=False):
         source = From(e)
         out = Concat(source >> Filter("event_type = 'error'"), source >> Filter("value > 100"))
-        both = out.dataset().select("event_id", "event_type", "value")
-        w.persisted.clear()  # the result outlives the workspace and reads what its branches share
-    return both
+        return out.dataset().select("event_id", "event_type", "value")
 
 
 @query(f"WITH {V.IMAGES_SQL} SELECT {_COLS}, aesthetic_score FROM images UNION ALL SELECT {_COLS}, NULL FROM images WHERE width > 1000")
@@ -326,23 +304,6 @@ def cache_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching(latest(V.memo_entries(spark, sf_dir)), "events(2?)").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {V.ENTRIES_SQL} SELECT key, domain, value FROM entries WHERE NOT (key GLOB 'events(*0)' AND domain = 'view')")
-def cache_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = latest(V.memo_entries(spark, sf_dir))
-    gone = matching(rows, "events(*0)", "view").select("key", "domain")
-    return rows.join(gone, ["key", "domain"], "left_anti").select("key", "domain", "value")
-
-
-@query("""WITH raw AS (SELECT 'events(' || CAST(user_id AS VARCHAR) || ')' AS key, event_type AS domain, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id AS VARCHAR) END AS value, ts FROM events
-UNION ALL SELECT 'events(' || CAST(user_id AS VARCHAR) || ')', event_type, 'new', TIMESTAMP '2100-01-01' FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type = 'click' AND user_id % 2 = 0))
-SELECT key, domain, value FROM (SELECT *, row_number() OVER (PARTITION BY key, domain ORDER BY ts DESC) AS k FROM raw) WHERE k = 1""")
-def cache_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = V.memo_entries(spark, sf_dir)
-    other = latest(own.filter("domain = 'click' and cast(regexp_extract(key, '([0-9]+)', 1) as long) % 2 = 0"))
-    other = other.withColumn("value", F.lit("new")).withColumn("present", F.lit(True)).withColumn("updated_at", F.expr("timestamp '2100-01-01'").cast(own.schema["updated_at"].dataType))
-    return upsert(own, other.select(*own.columns)).select("key", "domain", "value")
-
-
 @query(f"""WITH {V.ENTRIES_SQL}, last AS (SELECT key, value, present FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS k FROM raw) WHERE k = 1)
 SELECT c_custkey, CAST(l.value AS BIGINT) AS seen, l.key IS NOT NULL AS cached FROM customer LEFT JOIN last l ON l.key = 'events(' || CAST(c_custkey % 3000 AS VARCHAR) || ')'""")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,11 +349,23 @@ def face_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", G.scale_box(box, 1.5, F.lit(1024), F.lit(768)).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
 
 
-@query()
+_INTER = "greatest(0, least(q.x2, b.x2) - greatest(q.x1, b.x1)) * greatest(0, least(q.y2, b.y2) - greatest(q.y1, b.y1))"
+_UNION = f"(q.x2 - q.x1) * (q.y2 - q.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_INTER}"
+
+
+@query(f"""WITH RECURSIVE base AS (SELECT l_orderkey, (l_partkey * 37 % 200)::DOUBLE AS x1, (l_suppkey * 53 % 100)::DOUBLE AS y1, 60 + l_partkey * 11 % 130 AS dx, 60 + l_suppkey * 7 % 90 AS dy FROM lineitem),
+boxes AS (SELECT l_orderkey, x1, y1, x1 + dx AS x2, y1 + dy AS y2, x1 * 31 % 97 AS score FROM base),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, x1, y1, x2, y2) AS k FROM boxes),
+step AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS k, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS kept FROM boxes
+UNION ALL SELECT s.l_orderkey, b.k, CASE WHEN len(list_filter(s.kept, lambda q: {_INTER} >= CAST(0.3 AS DOUBLE) * ({_UNION}))) > 0 THEN s.kept ELSE list_append(s.kept, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) END
+FROM step s JOIN ranked b ON b.l_orderkey = s.l_orderkey AND b.k = s.k + 1), done AS (SELECT l_orderkey, arg_max(kept, k) AS kept FROM step GROUP BY 1)
+SELECT l_orderkey, u.x1, u.y1, u.x2, u.y2 FROM (SELECT l_orderkey, unnest(kept) AS u FROM done)""")
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy suppression, sequential by nature; tests hold it to its properties."""
-    scored = F.transform("boxes", lambda b: F.struct(*(b[k].cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")), (b["x1"] * 31 % 97).cast("double").alias("score")))
-    return V.boxes(spark, sf_dir).select("l_orderkey", suppressed(F.array_sort(scored)).alias("kept"))
+    """The boxes of each order that greedy suppression keeps."""
+    x1, y1 = (F.col("l_partkey") * 37 % 200).cast("double"), (F.col("l_suppkey") * 53 % 100).cast("double")
+    box = F.struct(x1.alias("x1"), y1.alias("y1"), (x1 + 60 + F.col("l_partkey") * 11 % 130).alias("x2"), (y1 + 60 + F.col("l_suppkey") * 7 % 90).alias("y2"), (x1 * 31 % 97).alias("score"))
+    boxes = V.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    return boxes.select("l_orderkey", F.explode(suppressed("boxes")).alias("b")).select("l_orderkey", "b.x1", "b.y1", "b.x2", "b.y2")
 
 
 @query("""WITH scored AS (SELECT vec_id, label, round(list_sum(list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * ((i % 7) - 3) / 8)) + CAST(0.5 AS DOUBLE), 6) AS score FROM embeddings)
@@ -439,3 +412,6 @@ def upscale_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V.IMAGES_SQL} SELECT objectid, original_path, 'JPEG' AS format, CASE WHEN format <> 'JPEG' THEN 'RGB' END AS convert_mode FROM images")
 def convert_format_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert_format(V.images(spark, sf_dir), "JPEG").select("objectid", "original_path", "format", "convert_mode")
+
+
+from framewright import operator_queries  # noqa: E402, F401

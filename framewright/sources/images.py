@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -102,6 +103,26 @@ def describe(files: DataFrame) -> DataFrame:
     return named.filter("h.format is not null").select("original_path", "objectid", "ext", "h.width", "h.height", "h.format", "content")
 
 
+FACTS = "struct<objectid:string,width:int,height:int,format:string>"
+FEW = 10_000  # new files that are named one by one; more are found by reading the folder
+
+
+def list_images(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (original_path) of the files that are named as images. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.filter(F.lower(F.col("path")).rlike(r"\.(jpg|png|webp)$")).select(F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("original_path"))
+
+
+def read_facts(spark: SparkSession, folder: str, misses: DataFrame) -> DataFrame:
+    """Rows (_key, value) of files (_key, original_path): what they hold, as JSON, null for what is no image."""
+    new = [r.original_path for r in misses.select("original_path").limit(FEW + 1).collect()]
+    where = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in new] if len(new) <= FEW else [folder]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where).select("path", "content")
+    found = files.select(F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("original_path"), F.sha2("content", 256).alias("objectid"), header("content").alias("h"))
+    facts = F.when(F.col("h.format").isNotNull(), F.to_json(F.struct("objectid", "h.width", "h.height", "h.format")))
+    return misses.select("_key", "original_path").join(found, "original_path").select("_key", facts.alias("value"))
+
+
 def read_images(spark: SparkSession, path: str, keep_content: bool = False) -> DataFrame:
     """All images below a folder, ordered by path; files that are no images are passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

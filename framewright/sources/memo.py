@@ -15,15 +15,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.storage import remove
+from framewright.storage import exists, remove
 
 SCHEMA = "scope string, key string, domain string, present boolean, value string, updated_at timestamp"
 
 
 def latest(entries: DataFrame) -> DataFrame:
-    """The last entry of each key and domain."""
-    last = F.struct("updated_at", "value", "present")
-    return entries.groupBy("key", "domain").agg(F.max(last).alias("last"), F.max_by("scope", "updated_at").alias("scope")).select("scope", "key", "domain", F.col("last.present").alias("present"), F.col("last.value").alias("value"), F.col("last.updated_at").alias("updated_at"))
+    """The last entry of each key and domain; of several at one moment a memoised null, else the greatest value."""
+    last = F.struct("updated_at", (~F.col("present")).alias("none"), "value", "present")
+    return entries.groupBy("key", "domain").agg(F.max(last).alias("last"), F.max("scope").alias("scope")).select("scope", "key", "domain", F.col("last.present").alias("present"), F.col("last.value").alias("value"), F.col("last.updated_at").alias("updated_at"))
 
 
 def matching(entries: DataFrame, pattern: str = "*", domain: str | None = None) -> DataFrame:
@@ -40,10 +40,10 @@ def _regex(pattern: str) -> str:
 def lookup(rows: DataFrame, entries: DataFrame, key: Column, domain: str | None = None, kind: str = "string", target: str = "value") -> DataFrame:
     """Rows with ``target``, the memoised value, and ``_cached``, whether there is an entry, be its value null.
 
-    Without a domain an entry of any domain counts, the last of them.
+    Without a domain an entry of any domain counts, the last of them; of several at one moment that of the greatest domain.
     """
     own = entries if domain is None else entries.filter(F.col("domain") == domain)
-    values = own.groupBy(F.col("key").alias("_key")).agg(F.max_by(F.struct("value", "present"), "updated_at").alias("_hit"))
+    values = own.groupBy(F.col("key").alias("_key")).agg(F.max_by(F.struct("value", "present"), F.struct("updated_at", "domain")).alias("_hit"))
     joined = rows.withColumn("_key", key).join(values, "_key", "left")
     value = F.when(F.col("_hit.present"), F.col("_hit.value"))
     value = value if kind == "string" else F.from_json(value, kind) if kind.startswith(("array", "struct", "map")) else value.try_cast(kind)
@@ -54,6 +54,15 @@ def upsert(entries: DataFrame, new: DataFrame) -> DataFrame:
     return latest(entries.unionByName(new))
 
 
+_SCOPE = r"^([^(]*)"
+
+
+def scope_of(key: str) -> str | None:
+    """The scope of a key, or of a pattern whose scope has no wild card."""
+    scope, bracket, _ = key.partition("(")
+    return scope if bracket and not re.search(r"[*?\[]", scope) else None
+
+
 class MemoStore:
     """The table of a workspace."""
 
@@ -61,8 +70,7 @@ class MemoStore:
         self.spark, self.path = spark, path
 
     def _exists(self) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        return exists(self.spark, self.path)
 
     def _parts(self) -> list[str]:
         """The folders of all puts. They are read by their names: Spark takes scans of one path for equal whatever was added."""
@@ -75,14 +83,17 @@ class MemoStore:
     def _new_part(self) -> str:
         return f"{self.path}/put={uuid.uuid4().hex}"
 
-    def entries(self) -> DataFrame:
-        """All entries in force."""
+    def entries(self, scope: str | None = None) -> DataFrame:
+        """All entries in force, or those of one scope, the folders of which alone are read."""
         parts = self._parts()
-        return latest(self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*parts)) if parts else self.spark.createDataFrame([], SCHEMA)
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMA)
+        everything = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*parts)
+        return latest(everything if scope is None else everything.filter(F.col("scope") == scope))
 
     def put(self, rows: DataFrame) -> None:
         """Append rows (key, domain, value); the last to be put counts. Null values are kept as such."""
-        scope = F.regexp_extract("key", r"^([^(]*)", 1)
+        scope = F.regexp_extract("key", _SCOPE, 1)
         now = rows.select(scope.alias("scope"), "key", F.col("domain").cast("string").alias("domain"), F.col("value").isNotNull().alias("present"), F.col("value").cast("string").alias("value"), F.current_timestamp().alias("updated_at"))
         now.write.partitionBy("scope").parquet(self._new_part())
 
@@ -90,17 +101,17 @@ class MemoStore:
         self.put(self.spark.createDataFrame([(key, domain, value)], "key string, domain string, value string"))
 
     def get(self, key: str, domain: str | None = None) -> str | None:
-        found = self.entries().filter(F.col("key") == key)
+        found = self.entries(scope_of(key)).filter(F.col("key") == key)
         found = found if domain is None else found.filter(F.col("domain") == domain)
         row = found.orderBy(F.desc("updated_at")).first()
         return row.value if row else None
 
     def has(self, key: str, domain: str | None = None) -> bool:
-        found = self.entries().filter(F.col("key") == key)
+        found = self.entries(scope_of(key)).filter(F.col("key") == key)
         return not (found if domain is None else found.filter(F.col("domain") == domain)).isEmpty()
 
     def list(self, pattern: str = "*", domain: str | None = None) -> DataFrame:
-        return matching(self.entries(), pattern, domain)
+        return matching(self.entries(scope_of(pattern)), pattern, domain)
 
     def count(self, pattern: str = "*", domain: str | None = None) -> int:
         return self.list(pattern, domain).count()
@@ -139,15 +150,16 @@ class MemoStore:
         remove(self.spark, self.path)
         return True
 
-    def fill(self, rows: DataFrame, key: Column, work: Callable[[DataFrame], DataFrame], target: str, kind: str = "string", domain: str | None = None) -> DataFrame:
+    def fill(self, rows: DataFrame, key: Column, work: Callable[[DataFrame], DataFrame], target: str, kind: str = "string", domain: str | None = None, scope: str | None = None) -> DataFrame:
         """Rows with ``target`` from the store, where ``work`` first works out the keys that lack.
 
         ``work`` takes one row a missing key, with ``_key``, and gives (_key, value). Results are in the store before they
-        are used, so a lost executor or a second action calls no model again; with nothing missing no model is loaded.
+        are used, so a lost executor or a second action calls no model again; with nothing missing no model is loaded. Of a
+        scope, that of all the keys, only its own folders are read.
         """
-        found = lookup(rows, self.entries(), key, domain, kind, target)
+        found = lookup(rows, self.entries(scope), key, domain, kind, target)
         misses = found.filter(~F.col("_cached")).drop(target, "_cached").withColumn("_key", key).dropDuplicates(["_key"])
         if not misses.isEmpty():
             self.put(work(misses).select(F.col("_key").alias("key"), F.lit(domain).cast("string").alias("domain"), "value"))
-            found = lookup(rows, self.entries(), key, domain, kind, target)
+            found = lookup(rows, self.entries(scope), key, domain, kind, target)
         return found.drop("_cached")

@@ -7,13 +7,14 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Row, Window
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.frame import in_order, order_columns, visible
 from framewright.functions.strings import save_stem
 from framewright.plans.operator import Operator
-from framewright.storage import remove
+from framewright.storage import filesystem, qualified, remove
 
 
 def manifest(df: DataFrame, by_format: bool = False) -> DataFrame:
@@ -42,31 +43,47 @@ def shortened(x, longest: int = 100):
     return [*x[:25], "...", *x[-25:]] if isinstance(x, list) and len(x) > longest else x
 
 
-def index_html(df: DataFrame, rows: int = 10_000) -> str:
-    """A page with a table of the first rows; it is made on the driver, so it is bounded."""
-    head = in_order(df).limit(rows).collect()
-    names = [c for c in visible(df) if any(r[c] is not None for r in head)]
-    body = "".join("<tr>" + (f'<td><img src="{html.escape(r["_file"])}"></td>' if "_file" in df.columns else "") + "".join(f"<td>{html.escape(json.dumps(shortened(_plain(r[c])), default=str, ensure_ascii=False)) if r[c] is not None else ''}</td>" for c in names) + "</tr>" for r in head)
-    return f"<!doctype html><meta charset=utf-8><table><tr><th>image</th>{''.join(f'<th>{html.escape(c)}</th>' for c in names)}</tr>{body}</table>"
-
-
-def clusters_html(df: DataFrame, clusters: DataFrame, path: str, rows: int = 10_000) -> None:
-    """A page of the clusters of more than one image, largest first."""
-    shown = df.join(clusters.filter("size > 1"), "objectid").orderBy(F.desc("size"), "root", "objectid").limit(rows)
-    out, last = [], None
-    for r in shown.collect():
+def index_html(df: DataFrame) -> Iterator[str]:
+    """The pieces of a page with a table of all rows; the driver holds one partition at a time."""
+    shown = visible(df)
+    some = df.agg(*(F.count(F.col(f"`{c}`")) for c in shown)).first() if shown else ()
+    names = [c for c, n in zip(shown, some, strict=True) if n]
+    yield f"<!doctype html><meta charset=utf-8><table><tr><th>image</th>{''.join(f'<th>{html.escape(c)}</th>' for c in names)}</tr>"
+    for r in in_order(df).toLocalIterator():
+        image = f'<td><img src="{html.escape(r["_file"])}"></td>' if "_file" in df.columns else "<td></td>"
+        cells = "".join(f"<td>{html.escape(json.dumps(shortened(_plain(r[c])), default=str, ensure_ascii=False)) if r[c] is not None else ''}</td>" for c in names)
+        yield f"<tr>{image}{cells}</tr>"
+    yield "</table>"
+
+
+def clusters_page(df: DataFrame, clusters: DataFrame) -> Iterator[str]:
+    """The pieces of a page of all clusters of more than one image, largest first."""
+    shown = df.join(clusters.filter("size > 1").select("objectid", "root", "size"), "objectid").orderBy(F.desc("size"), "root", "objectid")
+    last = None
+    yield "<!doctype html><meta charset=utf-8>"
+    for r in shown.toLocalIterator():
         if r.root != last:
-            out.append(f"<h2>{r['size']} images</h2>")
+            yield f"<h2>{r['size']} images</h2>"
             last = r.root
-        out.append(f"<p>{html.escape(str(r.original_path))} {r.width}x{r.height} {r.format}</p>")
-    _write_text(df, path, "<!doctype html><meta charset=utf-8>" + "".join(out))
+        path = html.escape(str(r.original_path))
+        yield f'<p><img src="{path}" loading="lazy" height="200"> {path} {r.width}x{r.height} {r.format}</p>'
+
 
+def clusters_html(df: DataFrame, clusters: DataFrame, path: str) -> None:
+    _write_text(df.sparkSession, path, clusters_page(df, clusters))
 
-def _write_text(df: DataFrame, path: str, text: str) -> None:
-    jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(hadoop).create(target, True)
-    stream.write(bytearray(text.encode()))
+
+def _write_text(spark: SparkSession, path: str, pieces: Iterator[str]) -> None:
+    """Write a file piece by piece."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    held: list[str] = []
+    for piece in pieces:
+        held.append(piece)
+        if len(held) == 1000:
+            stream.write(bytearray("".join(held).encode()))
+            held.clear()
+    stream.write(bytearray("".join(held).encode()))
     stream.close()
 
 
@@ -92,24 +109,33 @@ class Save(Operator):
         if self.table:
             rows.select(F.col("_file").alias("file"), "content", "caption", "sidecar").write.parquet(target)
         else:
-            folder, caption_ext = Path(target.removeprefix("file://").removeprefix("file:")), self.caption_ext
+            folder, caption_ext = qualified(self.workspace.spark, target), self.caption_ext
 
             def write(part: Iterator[Row]) -> None:
-                folder.mkdir(parents=True, exist_ok=True)
+                fs, at = filesystem(folder)
+                fs.create_dir(at, recursive=True)
+
+                def put(name: str, data: bytes) -> None:
+                    with fs.open_output_stream(f"{at}/{name}") as out:
+                        out.write(data)
+
                 for r in part:
                     source = Path(r.original_path)
                     if r.content is not None:
-                        (folder / r._file).write_bytes(r.content)
+                        put(r._file, bytes(r.content))
                     elif source.exists():
-                        _link(source, folder / r._file)
+                        if isinstance(fs, pafs.LocalFileSystem):
+                            _link(source, Path(at) / r._file)
+                        else:
+                            put(r._file, source.read_bytes())
                     if r.caption:
-                        (folder / f"{r._stem}{caption_ext}").write_text(r.caption)
+                        put(f"{r._stem}{caption_ext}", r.caption.encode())
                     if r.sidecar:
-                        (folder / f"{r._stem}.json").write_text(r.sidecar)
+                        put(f"{r._stem}.json", r.sidecar.encode())
 
             rows.foreachPartition(write)
         if self.index and not dataset.isEmpty():
-            _write_text(dataset, f"{target}/index.html" if not self.table else f"{target}.html", index_html(named.drop("_stem")))
+            _write_text(self.workspace.spark, f"{target}/index.html" if not self.table else f"{target}.html", index_html(named.drop("_stem")))
         return dataset
 
 

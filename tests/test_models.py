@@ -158,14 +158,28 @@ def test_anonymize(spark, workspace, method):
     assert not changed[:, 40:].any() and changed[12:28, 12:28].any() == (method != "none")
 
 
-def test_suppression_keeps_apart():
+def suppressed_by_force(boxes, limit=0.3):
+    left, kept = sorted(range(len(boxes)), key=lambda i: -boxes[i][4]), []
+    for i in left:
+        a = boxes[i]
+        for k in kept:
+            b = boxes[k]
+            both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+            if both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both) >= limit:
+                break
+        else:
+            kept.append(i)
+    return sorted(kept)
+
+
+def test_suppression():
     rng = np.random.default_rng(0)
-    b = rng.uniform(0, 50, (40, 2))
-    boxes = np.concatenate([b, b + rng.uniform(5, 30, (40, 2)), rng.uniform(0, 1, (40, 1))], axis=1)
-    kept = suppress(boxes)
-    assert list(kept) == sorted(kept) and int(np.argmax(boxes[:, 4])) in kept
-    assert list(suppress(boxes[kept])) == list(range(len(kept)))
-    assert len(suppress(np.zeros((0, 5)))) == 0
+    for n in (1, 2, 40):
+        b = rng.uniform(0, 50, (n, 2))
+        boxes = np.concatenate([b, b + rng.uniform(5, 30, (n, 2)), rng.uniform(0, 1, (n, 1))], axis=1)
+        assert list(suppress(boxes)) == suppressed_by_force(boxes.tolist())
+    assert list(suppress(np.array([[0, 0, 4, 4, 0.9], [2, 1, 6, 5, 0.8]]))) == [0, 1]  # they share 6 of 26
+    assert len(suppress(np.zeros((0, 5)))) == 0 and list(suppress(np.zeros((2, 5)))) == [0, 1]
 
 
 def test_heatmap_and_cover():
@@ -174,4 +188,55 @@ def test_heatmap_and_cover():
     found = decode_heatmap(heat, np.full((2, 8, 8), np.log(2.0)), np.zeros((2, 8, 8)), 32, 32, 0.5)
     assert found.tolist() == [[10.0, 6.0, 18.0, 14.0, 0.9]] and len(decode_heatmap(heat, np.zeros((2, 8, 8)), np.zeros((2, 8, 8)), 32, 32, 0.95)) == 0
     p = np.full((10, 10, 3), 200, np.uint8)
-    assert (cover(p, [{"x1": 0, "y1": 0, "x2": 9, "y2": 9}], "solid", True, 4)[0, 0] == 200).all() and (cover(p, [{"x1": 0, "y1": 0, "x2": 9, "y2": 9}], "solid", False, 4) == 0).all()
+    whole = [{"x1": 0, "y1": 0, "x2": 9, "y2": 9}]
+    for ellipse in (True, False):
+        assert (cover(p, whole, "solid", ellipse, 4) == 0).all()  # a solid box has corners
+    rng = np.random.default_rng(1)
+    p = rng.integers(0, 256, (20, 20, 3), dtype=np.uint8)
+    box = [{"x1": 4, "y1": 2, "x2": 16, "y2": 14}]
+    blurred, round_ = cover(p, box, "blur", False, 4), cover(p, box, "blur", True, 4)
+    part, size = p[2:14, 4:16].astype(float), 6
+    mirrored = np.pad(part, [(3, 2), (3, 2), (0, 0)], mode="reflect")
+    want = np.array([[mirrored[y : y + size, x : x + size].mean(axis=(0, 1)) for x in range(12)] for y in range(12)])
+    assert np.abs(blurred[2:14, 4:16] - want).max() <= 0.5 and (blurred[:2] == p[:2]).all() and (blurred[:, 16:] == p[:, 16:]).all()
+    assert (round_[2, 4] == p[2, 4]).all() and (round_[8, 10] == blurred[8, 10]).all()
+    tiles = cover(p, box, "mosaic", True, 5)
+    assert (tiles[2:7, 4:9] == p[2, 4]).all() and (tiles[12:15, 14:17] == p[12, 14]).all() and (tiles[15:] == p[15:]).all()
+
+
+def test_what_models_see(spark, workspace):
+    """Contents are scaled or cut for the models that ask for it; failed calls are made again."""
+    size = FunctionBackend(lambda x: "x".join(map(str, decode_png(x["content"]).shape[:2])) if x["content"] and x["content"][:4] == b"\x89PNG" else "none")
+    d = pictures(spark)
+    rows = (From(d) >> QwenVLCaption("q", backend=size) >> XGenMMCaption("x", backend=size)).dataset().orderBy("_pos").collect()
+    assert [r.q for r in rows] == ["768x1280"] * 3 + ["none"] * 2 and [r.x for r in rows] == ["52x100"] * 3 + ["none"] * 2
+    assert [bytes(r.content) for r in rows[:3]] == [bytes(r.content) for r in d.orderBy("_pos").limit(3).collect()]
+    calls, waits = [], []
+
+    class Flaky(EchoBackend):
+        def run(self, items):
+            calls.append(len(items))
+            if len(calls) < 4:
+                raise RuntimeError("busy")
+            return super().run(items)
+
+    import framewright.models.runner as runner
+
+    sleep, runner.time.sleep = runner.time.sleep, waits.append
+    try:
+        assert Flaky().attempt([{"prompt": "a"}], 10, 2.0) == ["a []"] and waits == [2.0, 4.0, 8.0]
+    finally:
+        runner.time.sleep = sleep
+    assert GeminiCaption.retries == 10
+
+
+def test_smart_filter_keeps_its_model(spark, workspace, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(k, f"{k:064x}", [float(x) for x in rng.standard_normal(4) + (2 if k % 3 else -2)]) for k in range(240)]
+    d = spark.createDataFrame(rows, "_pos long, objectid string, clip array<double>")
+    import_decisions(workspace, "humanfilter", d.filter("_pos < 180").select("objectid", (F.col("_pos") % 3 > 0).alias("passed")))
+    args = {"min_images": 100, "min_per_class": 20, "epochs": 60}
+    first = sorted(r._pos for r in (From(d) >> SmartHumanFilter(**args)).dataset().collect())
+    workspace.memo.clear("smartfilter*")
+    monkeypatch.setattr("framewright.operators.smart.MultilayerPerceptronClassifier", None)  # can't be fitted again
+    assert sorted(r._pos for r in (From(d) >> SmartHumanFilter(**args)).dataset().collect()) == first

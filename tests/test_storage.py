@@ -1,17 +1,21 @@
 import json
+import math
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framewright import storage
 from framewright.__main__ import main
 from framewright.graph import connected_components
 from framewright.models.codec import decode_png, encode_png, resize
 from framewright.nodes import From, Load, Save, Workspace
-from framewright.similarity import exact_pairs, hashed_pairs
+from framewright.similarity import plan, vector_classes
 from framewright.sources.images import read_header
 from framewright.sources.memo import MemoStore
+from framewright.sources.objects import ObjectStore
+from framewright.sources.save import clusters_page, index_html
 from framewright.streaming.ingest import ingest
 
 
@@ -114,30 +118,105 @@ def test_stream(spark, tmp_path):
     assert sorted((r.width, r.height) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(3, 2), (8, 4)]
 
 
+def test_load_reads_only_new_files(spark, tmp_path):
+    src = tmp_path / "in [1]"
+    src.mkdir()
+    (src / "a b.png").write_bytes(encode_png(picture(8, 4)))
+    (src / "bad.png").write_bytes(b"no picture")
+    with Workspace(spark, str(tmp_path / "w")) as w:
+        assert [r.width for r in Load(str(src).replace("[", "\\[").replace("]", "\\]")).dataset().collect()] == [8]
+        assert w.memo.count("load(*") == 2
+    (src / "a b.png").write_bytes(encode_png(picture(9, 4)))  # images are taken not to change
+    (src / "{c}.png").write_bytes(encode_png(picture(7, 4)))
+    with Workspace(spark, str(tmp_path / "w")) as w:
+        assert sorted(r.width for r in Load(str(src).replace("[", "\\[").replace("]", "\\]")).dataset().collect()) == [7, 8]
+
+
+def test_index_has_all_rows(spark, tmp_path):
+    rows = spark.range(12_000).withColumnRenamed("id", "_pos").withColumn("name", F.concat(F.lit("<"), F.col("_pos").cast("string"))).withColumn("none", F.lit(None).cast("string"))
+    page = "".join(index_html(rows))
+    assert page.count("<tr>") == 12_001 and "&lt;11999" in page and "none" not in page
+    clusters = rows.select(F.col("_pos").cast("string").alias("objectid"), F.lit("0").alias("root"), F.lit(12_000).alias("size"))
+    shown = "".join(clusters_page(rows.select(F.col("_pos").cast("string").alias("objectid"), F.col("name").alias("original_path"), F.lit(1).alias("width"), F.lit(2).alias("height"), F.lit("PNG").alias("format")), clusters))
+    assert shown.count("<img") == 12_000 and shown.count("<h2>") == 1
+
+
+def test_shared_folder(spark, tmp_path):
+    assert storage.qualified(spark, str(tmp_path)).startswith("file:/")
+    fs, at = storage.filesystem(storage.qualified(spark, str(tmp_path)))
+    assert at == str(tmp_path)
+    with pytest.raises(ValueError):
+        storage.filesystem("hdfs:/ck")
+    before = storage.written()
+    kept, gone = storage.materialise(spark.range(3)), storage.materialise(spark.range(4))
+    new = sorted(storage.written() - before)
+    assert len(new) == 2 and kept.count() == 3 and gone.count() == 4
+    storage.release(before | {new[0]})
+    assert storage.written() >= {new[0]} and new[1] not in storage.written() and not storage.exists(spark, new[1])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
-    found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 102: 100}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (0, 1000):
+        found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert found == {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 102: 100}
+        assert connected_components(spark.createDataFrame([], "a string, b string"), few=few).count() == 0
+    named = spark.createDataFrame([("b", "c"), ("a", "b"), ("x", "y")], "a string, b string")
+    assert {tuple(r) for r in connected_components(named).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
 
 
-def test_pairs_by_blocks(spark, monkeypatch):
+def test_vector_classes(spark):
+    """Hashed and by all pairs, in one list and in blocks; copies, zeros, nulls and repeated keys."""
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 8))
-    rows = [(f"{i:03d}", [float(x) for x in base[i % 30] + 0.05 * rng.standard_normal(8)]) for i in range(60)]
-    d = spark.createDataFrame(rows, "k string, v array<double>")
-    one = {(r.a, r.b) for r in exact_pairs(d, "k", "v", 0.9).collect()}
-    monkeypatch.setattr("framewright.similarity.BROADCAST_BYTES", 0)
-    monkeypatch.setattr("framewright.similarity.BLOCK", 13)
-    assert {(r.a, r.b) for r in exact_pairs(d, "k", "v", 0.9).collect()} == one and len(one) >= 25
-    assert {(r.a, r.b) for r in hashed_pairs(d, "k", "v", 0.9).collect()} <= one
+    m = base[np.arange(60) % 30] + 0.05 * rng.standard_normal((60, 8))
+    rows = [(f"{i:03d}", [float(x) for x in v]) for i, v in enumerate(m)] + [(f"c{k}", [float(x) for x in m[0]]) for k in range(20)]
+    near = [[np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) > 0.9 for _, b in rows] for _, a in rows]
+    edges = [("z1", [0.0] * 8), ("z2", [0.0] * 8), (None, rows[0][1]), ("none", None), rows[3]]
+    d = spark.createDataFrame(rows + edges, "k string, v array<double>")
+    want = {"z1": ("z1", 0), "z2": ("z2", 0)}
+    for i, (k, _) in enumerate(rows):
+        todo, seen = [i], {i}
+        while todo:
+            at = todo.pop()
+            new = {j for j in range(len(rows)) if near[at][j]} - seen
+            seen |= new
+            todo += new
+        want[k] = min(rows[j][0] for j in seen), sum(near[i]) - 1
+    for args in ({}, {"exact": True}, {"block": 7}):
+        assert {r.k: (r.root, r.links) for r in vector_classes(d, "k", "v", 0.9, **args).collect()} == want
+    assert sum(n > 0 for _, n in want.values()) >= 50
+    assert vector_classes(d.limit(0), "k", "v", 0.9).count() == 0
+
+
+def test_hash_plans():
+    """Recall is kept whatever the signs; lists shrink as rows grow, and stay whole where hashing would not pay."""
+    assert plan(2000, 0.4) == (0, 1) and plan(500, 0.95) == (0, 1)
+    for n in (10**5, 10**7, 10**9):
+        signs, tables = plan(n, 0.95)
+        assert 1 - (1 - (1 - math.acos(0.95) / math.pi) ** signs) ** tables >= 0.99 and n / 2**signs < n / 20
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((300, 32))
+    b = a / np.linalg.norm(a, axis=1, keepdims=True) * 0.951 + 0.0
+    side = rng.standard_normal((300, 32))
+    side -= (side * a).sum(axis=1, keepdims=True) / (a * a).sum(axis=1, keepdims=True) * a
+    b += side / np.linalg.norm(side, axis=1, keepdims=True) * (1 - 0.951**2) ** 0.5
+    signs, tables = plan(10**7, 0.95)
+    met = np.zeros(300, bool)
+    for t in range(tables):
+        along = np.random.default_rng([23, t]).standard_normal((32, signs))
+        met |= ((a @ along > 0) == (b @ along > 0)).all(axis=1)
+    assert met.mean() >= 0.97
 
 
 def test_command_line(spark, tmp_path, capsys):
     m = MemoStore(spark, str(tmp_path / "w" / "memo"))
     m.put_one("f(1)", "a")
     assert main(["-w", str(tmp_path / "w"), "cache", "list"], spark) == 0 and "f(1)" in capsys.readouterr().out
-    assert main(["-w", str(tmp_path / "v"), "cache", "import", str(tmp_path / "w")], spark) == 0
+    ObjectStore(spark, str(tmp_path / "w" / "objects")).put(spark.createDataFrame([(b"x",), (b"y",), (None,)], "content binary"))
+    assert main(["-w", str(tmp_path / "v"), "cache", "import", str(tmp_path / "w")], spark) == 0 and "2 objects and 1 entries" in capsys.readouterr().out
+    assert main(["-w", str(tmp_path / "v"), "cache", "import", str(tmp_path / "w"), str(tmp_path / "v")], spark) == 0 and ": 0 objects" in capsys.readouterr().out
+    assert main(["-w", str(tmp_path / "w"), "exec", "out = From(workspace.spark.range(3).withColumnRenamed('id', '_pos')) >> Info"], spark) == 0 and "image 2" in capsys.readouterr().out
     assert main(["-w", str(tmp_path / "w"), "cache", "clear", "-f"], spark) == 0 and m.count() == 0
     script = tmp_path / "s.py"
     script.write_text("out = From(workspace.spark.range(3).withColumnRenamed('id', '_pos')) >> Take(2)\n")
