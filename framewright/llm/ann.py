@@ -34,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.blocks import BLOCK, column, large, lean_group
 from framewright.llm.arrays import gather_ranges
-from framewright.llm.classes import BLOCK, column, large
-from framewright.llm.common import lean_group
 from framewright.llm.vectors import matrix, sampled, unit_vectors
 from framewright.storage import materialise
 

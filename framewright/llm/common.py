@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,46 +9,6 @@ from pyspark.sql import functions as F
 from framewright.storage import materialise
 
 
-def tidy() -> None:
-    """Give freed memory back, which a Python worker otherwise keeps while it waits for its next task."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # not glibc
-        pass
-
-
-def lean(f: Callable) -> Callable:
-    """A function for mapInArrow that leaves no freed memory behind."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from f(batches)
-        finally:
-            tidy()
-
-    return of
-
-
-def lean_group(f: Callable) -> Callable:
-    """A function for applyInArrow, of one group or of two, that leaves no freed memory behind."""
-    if f.__code__.co_argcount == 2:
-
-        def both(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = f(left, right)
-            tidy()
-            return out
-
-        return both
-
-    def of(group: pa.Table) -> pa.Table:
-        out = f(group)
-        tidy()
-        return out
-
-    return of
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,10 +31,6 @@ def settled(df: DataFrame) -> DataFrame:
     return df if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Arrow", "Python", "Pandas", "rand(")) else materialise(df, "settled")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def int_lists(values, counts) -> pa.ListArray:
     """Arrow lists of int32 from the values one after the other and each list's length."""
     import numpy as np

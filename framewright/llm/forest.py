@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.classes import BLOCK, classed, column, dealt, large, near_pairs, stars
-from framewright.llm.common import lean, lean_group
+from framewright.blocks import BLOCK, classed, column, dealt, large, lean, lean_group, near_pairs, stars
 from framewright.llm.vectors import alike, matrix, sampled, unit_vectors
 from framewright.storage import materialise
 
@@ -190,7 +189,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     sizes = large(vectors.mapInArrow(lean(_counted(width, trees)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")), PLACE_MOST)
     rows = dealt(vectors.mapInArrow(lean(_place(width, trees)), "place long, kind long, v array<float>"), "place", "kind", sizes, 2.0 * n * len(trees), block)
     edges = rows.groupBy("part").applyInArrow(lean_group(_compare(width, threshold)), "a long, b long")
-    found = classed(kinds, edges, ["vec_id"], ["v"], lambda t: matrix(t.column("v"), width), lambda a, b: alike(a, b, threshold))
+    found = classed(kinds, edges, ["vec_id"], ["v"], lambda t: matrix(t.column("v"), width), lambda a, b: alike(a, b, threshold), block)
     return own.join(found, "v").select("vec_id", F.col("first_vec_id").alias("class_id"), "links")
 
 

@@ -23,7 +23,6 @@ is null. Words are told apart by 64-bit hashes, contexts by 48 bits of theirs an
 from __future__ import annotations
 
 import json
-import re
 import struct
 from collections.abc import Iterator
 from functools import reduce
@@ -34,10 +33,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.blocks import lean, lean_group, partitions
 from framewright.llm.arrays import gather_ranges, hash_spans, mix64, segment_sums, text_chunks, words
-from framewright.llm.common import lean, lean_group, partitions, settled, texts
+from framewright.llm.common import settled, texts
 from framewright.llm.eliasfano import EliasFano
-from framewright.storage import materialise, new_path
+from framewright.storage import filesystem, materialise, new_path
 
 DISCOUNT = 0.75
 KEEP = 1
@@ -53,12 +53,6 @@ _SCORES = "doc_id long, n_words long, log_prob double, perplexity double"
 # Storage ---------------------------------------------------------------------------------------------------------
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), re.sub(r"^file:", "", path)
-
-
 def write_bytes(path: str, data: bytes) -> None:
     """Write a file at once: a task that is run again replaces it by the same."""
     fs, at = filesystem(path)

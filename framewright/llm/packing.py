@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.blocks import lean
 from framewright.llm.arrays import pretokens, segment_sums, text_chunks
-from framewright.llm.common import int_lists, lean, texts
+from framewright.llm.common import int_lists, texts
 from framewright.llm.pieces import DEFAULT_RANKS, bpe_cache, byte_bpe
 from framewright.storage import materialise
 

@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from framewright.blocks import lean
 from framewright.llm.arrays import PAD, gather_ranges, segment_sums, text_chunks
-from framewright.llm.common import int_lists, lean, texts
+from framewright.llm.common import int_lists, texts
 from framewright.llm.pieces import PieceCache
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"

@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.blocks import BLOCK, classed, dealt, edges_of, large, lean, lean_group
 from framewright.llm.arrays import gather_ranges, hash_spans, mix64, text_chunks, words
-from framewright.llm.classes import BLOCK, classed, dealt, edges_of, large
-from framewright.llm.common import fresh, lean, lean_group, texts
+from framewright.llm.common import fresh, texts
 from framewright.storage import materialise
 
 BITS = 256
@@ -263,7 +263,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = dealt(own.mapInArrow(lean(_filter(p)), f"list long, kind long, {words_}"), "list", "kind", sizes, n * p.repeats, block)
     near = lambda a, b: apart(a, b) <= radius
     edges = rows.groupBy("part").applyInArrow(lean_group(edges_of("kind", "list", _prints, near)), "a long, b long")
-    found = classed(kinds, edges, ["doc_id", "text_hash"], _WORDS, _prints, near)
+    found = classed(kinds, edges, ["doc_id", "text_hash"], _WORDS, _prints, near, block)
     out = prints.join(found, _WORDS).select("doc_id", "text_hash", F.col("first_doc_id").alias("class_id"), F.col("first_text_hash").alias("class_hash"), "links")
     alone = docs.filter("text is null").select("doc_id", "text_hash").distinct()
     return out.unionByName(alone.select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("text_hash").alias("class_hash"), F.lit(0).cast("long").alias("links")))

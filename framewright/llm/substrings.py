@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.blocks import lean, lean_group, partitions
 from framewright.llm.arrays import gather_ranges, hash_spans, mix64, text_chunks, words
-from framewright.llm.common import lean, lean_group, partitions, texts
+from framewright.llm.common import texts
 from framewright.storage import materialise
 
 LENGTH = 50

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.blocks import lean
 from framewright.llm.arrays import HashIndex, gather_ranges, hash_spans, pretokens, segment_sums, text_chunks
-from framewright.llm.common import lean, texts
+from framewright.llm.common import texts
 from framewright.llm.pieces import DEFAULT_RANKS, bpe_cache, byte_bpe
 
 FREQUENT = 16_384  # entries of the broadcast table: its size never grows with the data

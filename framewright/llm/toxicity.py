@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.blocks import lean
 from framewright.llm.arrays import PAD, HashIndex, gather_ranges, hash_spans, segment_sums, text_chunks, words
-from framewright.llm.common import lean, texts
+from framewright.llm.common import texts
 
 ORDER = 5
 SHARE = 0.003

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from framewright.llm import classes, packing, queries, simhash, substrings, toxicity
+from framewright import blocks
+from framewright.llm import packing, queries, simhash, substrings, toxicity
 
 from llmfixtures import SF, EDGES, tokens
 
@@ -84,7 +85,7 @@ def classes_by_force(prints, radius=simhash.RADIUS):
     """(least row of each row's component, near rows of each) of fingerprints."""
     near = simhash.apart(prints, prints) <= radius
     i, j = np.nonzero(np.triu(near, 1))
-    return classes.least_labels(len(prints), i, j), near.sum(axis=1) - 1
+    return blocks.least_labels(len(prints), i, j), near.sum(axis=1) - 1
 
 
 def fingerprints(texts):

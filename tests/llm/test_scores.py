@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from framewright.llm import ann, forest, lm, queries
-from framewright.llm.classes import least_labels
+from framewright.blocks import least_labels
 from framewright.llm.eliasfano import EliasFano
 
 from llmfixtures import SF, EDGES, tokens
