@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.storage import materialise
@@ -25,6 +25,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_hash(text: Column) -> Column:
+    """60 bits of a text's MD5, by which different texts under one id are told apart; null for a null text."""
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("long")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Rows whose partitions are the same however often a task is run again: those of a plain scan, else a written copy."""
     plan = df._jdf.queryExecution().executedPlan().toString()

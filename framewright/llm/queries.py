@@ -73,4 +73,4 @@ _COPIES_SQL = " UNION ALL ".join(["SELECT vec_id, embedding FROM embeddings", *(
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_lm_scoring, op4_token_counts, op5_toxicity, op6_substrings, op7_packing, op8_neighbours, op9_sharding, op10_embedding_duplicates, embedding_duplicates_of_copies)}
 
 #: The other operators have no SQL form that is exact or quick on whole tables; tests/llm holds them to brute force.
-ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.shard_sql(), "op10_embedding_duplicates": forest.near_duplicates_sql(), "embedding_duplicates_of_copies": f"WITH copies AS ({_COPIES_SQL}) SELECT * FROM ({forest.near_duplicates_sql('copies')})"}
+ORACLE_SQL: dict[str, str] = {"op6_substrings": substrings.duplicate_spans_sql(), "op9_sharding": sharding.shard_sql(), "op10_embedding_duplicates": forest.near_duplicates_sql(), "embedding_duplicates_of_copies": f"WITH copies AS ({_COPIES_SQL}) SELECT * FROM ({forest.near_duplicates_sql('copies')})"}

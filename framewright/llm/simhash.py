@@ -14,7 +14,7 @@ within a list every pair is compared, and a list that is long all the same is co
 any number, are one row. Links are counted within whole classes, also those of pairs that met in no list.
 
 Defined results: a document is an id with a text; rows that repeat both are one document, and different texts under an id are documents of
-their own, told apart by ``text_hash``, the xxhash64 of the text. Case, punctuation and white space do not count. Texts without words
+their own, told apart by ``text_hash``, 60 bits of the text's MD5, -1 for a null text. Case, punctuation and white space do not count. Texts without words
 are near only if they are equal. A null text is near no other and is kept. Rows with a null id are in no class and are kept. Of a class
 the least (id, text_hash) is the representative and stays. An empty table gives no rows. Other columns are ignored by ``near_duplicates`` and
 kept by ``drop_near_duplicates``, whatever their names.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from framewright.blocks import BLOCK, classed, dealt, edges_of, large, lean, lean_group
 from framewright.llm.arrays import gather_ranges, hash_spans, mix64, text_chunks, words
-from framewright.llm.common import fresh, texts
+from framewright.llm.common import fresh, text_hash, texts
 from framewright.storage import materialise
 
 BITS = 256
@@ -251,7 +251,7 @@ def _sizes(p: Plan):
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id, text_hash, class_id, class_hash, links), one a document: its class's representative, and how many other documents
     are near it."""
-    docs = texts(df, id_col, text_col).filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    docs = texts(df, id_col, text_col).filter("doc_id is not null").withColumn("text_hash", F.coalesce(text_hash(F.col("text")), F.lit(-1).cast("long")))
     words_ = ", ".join(f"{w} long" for w in _WORDS)
     prints = materialise(docs.filter("text is not null").mapInArrow(lean(_fingerprint), f"doc_id long, text_hash long, {words_}"), "prints").distinct()
     alike = prints.groupBy(*_WORDS).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
@@ -273,5 +273,5 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The input without the rows of documents that are not their class's representative; columns as they are."""
     i, h, gone_i, gone_h = (fresh(df, c) for c in ("_id", "_hash", "_gone_id", "_gone_hash"))
     gone = near_duplicates(df, id_col, text_col, radius, recall).filter("doc_id <> class_id or text_hash <> class_hash").select(F.col("doc_id").alias(gone_i), F.col("text_hash").alias(gone_h))
-    named = df.withColumns({i: F.col(f"`{id_col}`").cast("long"), h: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    named = df.withColumns({i: F.col(f"`{id_col}`").cast("long"), h: text_hash(F.col(f"`{text_col}`").cast("string"))})
     return named.join(gone, (F.col(i) == F.col(gone_i)) & (F.col(h) == F.col(gone_h)), "left_anti").drop(i, h)

@@ -2,7 +2,9 @@
 
 Every document is a reference block. Blocks are indexed by anchors: of every ``LENGTH`` words in a row, the least hash
 of ``ANCHOR`` of them, so that any passage of ``LENGTH`` words that two documents share has an anchor in common, at the
-same place. A shuffle by anchor finds, for every anchor of every document, its first place in the corpus.
+same place. A shuffle by anchor finds, for every anchor of every document, its first place in the corpus. Anchors travel in
+blobs, at most as many as there are anchors; a bucket of more than ``HOT`` of them, as where a passage is in very many documents, is
+taken apart and its first places are worked out by aggregation before and a join after the shuffle, so no task holds all places of one anchor.
 
 Parsing: a document's anchors that point along one diagonal of one reference, each overlapping or touching the next,
 make a factor, greedily the longest. Factors of ``LENGTH`` words or more are duplicates as they stand. At the boundaries of
@@ -10,13 +12,13 @@ factors, where a passage can go on in another reference, every stretch of ``LENG
 looked up in the corpus as a whole, so the parse misses none.
 
 Result: exactly the words lying in some stretch of ``LENGTH`` words that also occurs in an earlier document, that is, of
-lesser id or, under one id, of lesser ``text_hash``. The first document that has a passage keeps it. Words are compared without case, punctuation or white space. Equality is
-that of 64-bit hashes.
+lesser id or, under one id, of lesser ``text_hash``. The first document that has a passage keeps it; ``source_id`` is the first that has
+the first ``LENGTH`` words of the span. Words are compared without case, punctuation or white space. Equality is that of 64-bit hashes.
 
 Defined results: null texts, rows with a null id and texts of fewer than ``LENGTH`` words have no spans. Rows of one id
 are one document when they repeat one text, and it does not duplicate itself; different texts under an id are documents of their
-own, told apart by ``text_hash``, the xxhash64 of the text. What a document repeats within itself is left alone. Empty tables give no rows. Other columns are
-ignored by ``duplicate_spans`` and kept by ``cut_duplicates``, which sets ``n_chars``, if there is one, anew, and drops a document of
+own, told apart by ``text_hash``, 60 bits of the text's MD5. What a document repeats within itself is left alone. Empty tables give no rows. Other columns are
+ignored by ``duplicate_spans`` and kept, whatever their names, by ``cut_duplicates``, which sets ``n_chars``, if there is one, anew, and drops a document of
 which nothing but separators is left.
 """
 
@@ -29,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.blocks import lean, lean_group, partitions
+from framewright.blocks import large, lean, lean_group, partitions
 from framewright.llm.arrays import gather_ranges, hash_spans, mix64, text_chunks, words
-from framewright.llm.common import texts
+from framewright.llm.common import fresh, text_hash, texts
 from framewright.storage import materialise
 
 LENGTH = 50
 ANCHOR = 26
 FLUSH = 1 << 19
+HOT = 1 << 21  # records of a bucket that go through one task
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -96,7 +99,7 @@ def anchors(h: np.ndarray, counts: np.ndarray, length: int = LENGTH, size: int =
     return at, grams[at]
 
 
-_PARTS = "bucket int, h binary, doc binary, key binary, a binary"
+_PARTS = "bucket int, n int, h binary, doc binary, key binary, a binary"
 
 
 def _blobs(bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, str]]) -> pa.RecordBatch | None:
@@ -106,7 +109,7 @@ def _blobs(bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, str]]) -> pa
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    arrays, names = [pa.array(bucket[cuts[:-1]], pa.int32())], ["bucket"]
+    arrays, names = [pa.array(bucket[cuts[:-1]], pa.int32()), pa.array(np.diff(cuts), pa.int32())], ["bucket", "n"]
     for name, (values, kind) in columns.items():
         raw = values[order].astype(kind)
         offsets = (cuts * raw.itemsize).astype(np.int32)
@@ -161,11 +164,11 @@ def _firsts(group: pa.Table) -> pa.Table:
     return pa.table({"doc": doc[keep], "key": key[keep], "at": at[keep].astype(np.int32), "ref": doc[first][keep], "ref_key": key[first][keep], "ref_at": at[first][keep].astype(np.int32)})
 
 
-_SPANS = "kind int, bucket int, h binary, doc binary, key binary, a binary, b binary, doc_id long, text_hash long, start int, end int, source_id long"
+_SPANS = "kind int, bucket int, n int, h binary, doc binary, key binary, a binary, b binary, doc_id long, text_hash long, start int, end int, source_id long"
 
 
 def _empty(n: int) -> dict[str, pa.Array]:
-    return {"kind": pa.array(np.zeros(n), pa.int32()), "bucket": pa.nulls(n, pa.int32()), **{c: pa.nulls(n, pa.binary()) for c in ("h", "doc", "key", "a", "b")}, **{c: pa.nulls(n, pa.int64()) for c in ("doc_id", "text_hash")}, **{c: pa.nulls(n, pa.int32()) for c in ("start", "end")}, "source_id": pa.nulls(n, pa.int64())}
+    return {"kind": pa.array(np.zeros(n), pa.int32()), **{c: pa.nulls(n, pa.int32()) for c in ("bucket", "n")}, **{c: pa.nulls(n, pa.binary()) for c in ("h", "doc", "key", "a", "b")}, **{c: pa.nulls(n, pa.int64()) for c in ("doc_id", "text_hash")}, **{c: pa.nulls(n, pa.int32()) for c in ("start", "end")}, "source_id": pa.nulls(n, pa.int64())}
 
 
 def parse(column: pa.Array, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray, length: int, size: int):
@@ -268,18 +271,69 @@ def _repeats(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[again], "text_hash": key[again], "start": a[again].astype(np.int32), "end": b[again].astype(np.int32), "source_id": source[again]})
 
 
-def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def _plain(columns: dict[str, str]):
+    """The records of blobs as rows."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(k, 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view("<i8") if x.dtype == np.uint64 else x) for x in _records(row, columns)], names=list(columns))
+
+    return of
+
+
+def _parted(blobs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of buckets that one task can take, rows of the others, if any)."""
+    sizes = large(blobs.groupBy("bucket").agg(F.sum("n").alias("n")), hot)
+    if sizes is None:
+        return blobs, None
+    known = sizes.select("bucket")
+    return blobs.join(known, "bucket", "left_anti"), blobs.join(known, "bucket", "left_semi")
+
+
+_PLACE = {"h": "<u8", "doc": "<i8", "key": "<i8", "a": "<i4"}
+
+
+def _shared(index: DataFrame, hot: int) -> DataFrame:
+    """For every anchor that two documents have: its places, each with the first."""
+    cold, rest = _parted(index, hot)
+    out = cold.groupBy("bucket").applyInArrow(lean_group(_firsts), "doc long, key long, at int, ref long, ref_key long, ref_at int")
+    if rest is None:
+        return out
+    places = rest.select(*_PLACE).mapInArrow(_plain(_PLACE), "h long, doc long, key long, a int")
+    first = places.groupBy("h").agg(F.min(F.struct("doc", "key", "a")).alias("first"), F.max(F.struct("doc", "key")).alias("last")).filter("first.doc <> last.doc or first.key <> last.key")
+    met = places.join(first.select("h", "first"), "h")
+    return out.unionByName(met.select("doc", "key", F.col("a").alias("at"), F.col("first.doc").alias("ref"), F.col("first.key").alias("ref_key"), F.col("first.a").alias("ref_at")))
+
+
+_STRETCH = _PLACE | {"b": "<i4"}
+
+
+def _repeated(stretches: DataFrame, hot: int) -> DataFrame:
+    """Stretches that an earlier document has too."""
+    cold, rest = _parted(stretches, hot)
+    out = cold.groupBy("bucket").applyInArrow(lean_group(_repeats), "doc_id long, text_hash long, start int, end int, source_id long")
+    if rest is None:
+        return out
+    places = rest.select(*_STRETCH).mapInArrow(_plain(_STRETCH), "h long, doc long, key long, a int, b int")
+    first = places.groupBy("h").agg(F.min(F.struct("doc", "key")).alias("first"), F.max(F.struct("doc", "key")).alias("last")).filter("first <> last")
+    met = places.join(first.select("h", "first"), "h").filter("doc <> first.doc or key <> first.key")
+    return out.unionByName(met.select(F.col("doc").alias("doc_id"), F.col("key").alias("text_hash"), F.col("a").alias("start"), F.col("b").alias("end"), F.col("first.doc").alias("source_id")))
+
+
+def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, text_hash, start, end, source_id): characters start (from 0) to end (exclusive) of the text repeat an earlier document."""
     size = max(1, (length + 2) // 2)
-    docs = texts(df, id_col, text_col).filter("doc_id is not null and text is not null").withColumn("text_hash", F.xxhash64("text"))
+    docs = texts(df, id_col, text_col).filter("doc_id is not null and text is not null").withColumn("text_hash", text_hash(F.col("text")))
     buckets = max(partitions(df.sparkSession), 2 * docs.rdd.getNumPartitions())
-    index = docs.mapInArrow(lean(_index(buckets, length, size)), _PARTS)
-    shared = index.groupBy("bucket").applyInArrow(lean_group(_firsts), "doc long, key long, at int, ref long, ref_key long, ref_at int")
+    index = materialise(docs.mapInArrow(lean(_index(buckets, length, size)), _PARTS), "index")
+    shared = _shared(index, hot)
     by = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
     left = docs.withColumn("part", by("doc_id")).groupBy("part")
     right = shared.withColumn("part", by("doc")).groupBy("part")
     parsed = materialise(left.cogroup(right).applyInArrow(lean_group(_parse(buckets, length, size)), _SPANS), "factors")
-    repeats = parsed.filter("kind = 1").groupBy("bucket").applyInArrow(lean_group(_repeats), "doc_id long, text_hash long, start int, end int, source_id long")
+    repeats = _repeated(parsed.filter("kind = 1").select("bucket", "n", *_STRETCH), hot)
     spans = parsed.filter("kind = 0").select("doc_id", "text_hash", "start", "end", "source_id").unionByName(repeats)
     # Overlapping spans become one.
     before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -290,12 +344,34 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def cut_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The input with the duplicate spans cut out of its texts."""
+    i, h, cut_i, cut_h, gone = (fresh(df, c) for c in ("_id", "_hash", "_cut_id", "_cut_hash", "_spans"))
     spans = duplicate_spans(df, id_col, text_col, length)
-    cuts = spans.groupBy(F.col("doc_id").alias("__cut"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    joined = df.join(cuts, (F.col(id_col).cast("long") == F.col("__cut")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash")), "left")
-    rest = F.expr(f"array_join(transform(sequence(0, size(__spans)), i -> substring(`{text_col}`, if(i = 0, 0, get(__spans, i - 1).end) + 1, if(i = size(__spans), length(`{text_col}`), get(__spans, i).start) - if(i = 0, 0, get(__spans, i - 1).end))), '')")
-    out = joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), rest).otherwise(F.col(text_col)))
-    out = out.filter(F.col("__spans").isNull() | F.col(text_col).rlike(r"[\p{L}\p{N}]"))
+    cuts = spans.groupBy(F.col("doc_id").alias(cut_i), F.col("text_hash").alias(cut_h)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(gone))
+    text = F.col(f"`{text_col}`")
+    named = df.withColumns({i: F.col(f"`{id_col}`").cast("long"), h: text_hash(text.cast("string"))})
+    joined = named.join(cuts, (F.col(i) == F.col(cut_i)) & (F.col(h) == F.col(cut_h)), "left")
+    rest = F.expr(f"array_join(transform(sequence(0, size({gone})), i -> substring(`{text_col}`, if(i = 0, 0, get({gone}, i - 1).end) + 1, if(i = size({gone}), length(`{text_col}`), get({gone}, i).start) - if(i = 0, 0, get({gone}, i - 1).end))), '')")
+    changed = F.col(gone).isNotNull()
+    out = joined.withColumn(text_col, F.when(changed, rest).otherwise(text)).filter(~changed | text.rlike(r"[\p{L}\p{N}]"))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length(text_col).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length(text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def duplicate_spans_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> str:
+    """The same in SQL, by the text of every stretch of ``length`` words."""
+    capitals = "".join(chr(c) for c in (*range(65, 91), *range(0xC0, 0xDF)) if c != 0xD7)
+    word = r"[0-9A-Za-z\x{80}-\x{10ffff}]+"
+    return f"""
+WITH docs AS (SELECT DISTINCT {id_col} AS doc_id, {text_col} AS text, CAST('0x' || left(md5({text_col}), 15) AS BIGINT) AS text_hash FROM {table} WHERE {id_col} IS NOT NULL AND {text_col} IS NOT NULL),
+cut AS (SELECT doc_id, text_hash, regexp_extract_all(translate(text, '{capitals}', '{capitals.lower()}'), '{word}') AS ws, regexp_split_to_array(text, '{word}') AS gaps FROM docs),
+word AS (SELECT doc_id, text_hash, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS gap, unnest(range(1, len(ws) + 1)) AS k FROM cut),
+place AS (SELECT doc_id, text_hash, k, length(w) AS size, sum(length(w) + length(gap)) OVER (PARTITION BY doc_id, text_hash ORDER BY k) AS past FROM word),
+gram AS (SELECT doc_id, text_hash, k, array_to_string(ws[k : k + {length - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - {length - 2})) AS k FROM cut WHERE len(ws) >= {length})),
+first AS (SELECT g, min((doc_id, text_hash)) AS f FROM gram GROUP BY g),
+again AS (SELECT doc_id, text_hash, k, f[1] AS source_id FROM gram JOIN first USING (g) WHERE f < (doc_id, text_hash)),
+apart AS (SELECT *, CASE WHEN k < lag(k) OVER (PARTITION BY doc_id, text_hash ORDER BY k) + {length} THEN 0 ELSE 1 END AS new FROM again),
+part AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, text_hash ORDER BY k) AS p FROM apart),
+span AS (SELECT doc_id, text_hash, min(k) AS a, max(k) + {length - 1} AS z, arg_min(source_id, k) AS source_id FROM part GROUP BY doc_id, text_hash, p)
+SELECT s.doc_id, s.text_hash, CAST(x.past - x.size AS INTEGER) AS start, CAST(y.past AS INTEGER) AS "end", s.source_id
+FROM span s JOIN place x ON x.doc_id = s.doc_id AND x.text_hash = s.text_hash AND x.k = s.a JOIN place y ON y.doc_id = s.doc_id AND y.text_hash = s.text_hash AND y.k = s.z"""

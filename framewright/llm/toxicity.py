@@ -12,7 +12,8 @@ texts, where a false alarm costs ``FALSE_ALARM`` times a miss.
 Only the fit is bounded: it reads at most ``per_class`` labelled texts of each class, those least by a hash of the id.
 Every text of the input is scored whole.
 
-Defined results: a null text, an empty one or one without words has score 0 and is not toxic; each row gives one row,
+Defined results: a null text, an empty one or one without words has score 0 and is not toxic, whatever the threshold; a score equal to
+the threshold is toxic. With fewer than 5 held-out texts of either class the threshold is set on the texts that were fitted. Each row gives one row,
 repeated ones too; null ids are kept. Labels that are null or whose id is null are ignored; where an id is labelled both
 ways, toxic counts. With no toxic or no ordinary labelled text every score is 0. Other columns, whatever their names,
 are passed over by ``score`` and kept by ``reject``.
@@ -151,7 +152,7 @@ class Model:
         """log p(word | toxic) - log p(word | ordinary)."""
         past, seen = spell(low, starts, lengths)
         ratio = segment_sums(self.ratios(past, seen).astype(np.float64), lengths + 1)
-        return np.log1p(SHARE * np.expm1(np.minimum(ratio, 50)))
+        return np.logaddexp(np.log1p(-SHARE), np.log(SHARE) + ratio)
 
 
 def _sizes(grams: np.ndarray) -> np.ndarray:
@@ -196,9 +197,18 @@ class Scorer:
         self.index, self.values = HashIndex(), np.zeros(1 << 15)
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        out = np.zeros(len(column))
+        return self.counted(column)[0]
+
+    def toxic(self, column: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, whether they are at least the threshold, which a text without words never is)."""
+        scores, counts = self.counted(column)
+        return scores, (scores >= threshold) & (counts > 0)
+
+    def counted(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, words) of texts."""
+        out, counts = np.zeros(len(column)), np.zeros(len(column), np.int64)
         if self.model is None:
-            return out
+            return out, counts
         for row, buf, offsets in text_chunks(column):
             low, starts, lengths, per_text = words(buf, offsets)
             h = hash_spans(low, starts, lengths)
@@ -218,7 +228,8 @@ class Scorer:
                     self.values[at[k : k + 50_000]] = self.model.word_ratios(low, starts[part], lengths[part])
                 ids[miss] = self.index.find(h[miss])
             out[row : row + len(per_text)] = segment_sums(self.values[ids], per_text) / np.maximum(per_text, 1)
-        return out
+            counts[row : row + len(per_text)] = per_text
+        return out, counts
 
 
 def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
@@ -275,8 +286,8 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            s = scorer.scores(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= threshold)], names=["doc_id", "score", "toxic"])
+            s, toxic = scorer.toxic(batch.column(1), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(toxic)], names=["doc_id", "score", "toxic"])
 
     return docs.mapInArrow(lean(apply), "doc_id long, score double, toxic boolean")
 
@@ -290,6 +301,6 @@ def reject(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
         scorer = Scorer(shared.value)
         for batch in batches:
             at = batch.schema.names.index(text_col)
-            yield batch.filter(pa.array(scorer.scores(batch.column(at).cast(pa.string())) < threshold))
+            yield batch.filter(pa.array(~scorer.toxic(batch.column(at).cast(pa.string()), threshold)[1]))
 
     return df.mapInArrow(lean(keep), df.schema)

@@ -43,15 +43,15 @@ def covered(rows, found):
     return out
 
 
-@pytest.mark.parametrize("length", [8, 50])
-def test_substrings(make, prose, length):
+@pytest.mark.parametrize("length,hot", [(8, substrings.HOT), (50, substrings.HOT), (8, 60), (50, 0)])
+def test_substrings(make, prose, length, hot):
     q, rows = random.Random(length), list(EDGES)
     shared = [prose(n, 1000 + n) for n in (length - 1, length, length + 1, 3 * length, 700)]
     for k in range(100, 160):
         parts = [prose(q.randint(0, 90), k)] + [s for s in shared if q.random() < 0.3] + [prose(q.randint(0, 90), k + 500)]
         rows.append((k, " ".join(parts)))
     rows += [(200, rows[-1][1]), (200, rows[-1][1]), (201, (prose(length, 7) + " ") * 3)]
-    found = substrings.duplicate_spans(make(rows), length=length).collect()
+    found = substrings.duplicate_spans(make(rows), length=length, hot=hot).collect()
     assert covered(rows, found) == spans_by_force(rows, length)
     assert all(r.source_id < r.doc_id for r in found)
 
@@ -65,6 +65,17 @@ def test_substrings_are_cut(make, prose):
     assert substrings.cut_duplicates(make([])).count() == 0 and substrings.duplicate_spans(make([])).count() == 0
 
 
+def test_substrings_of_a_long_text_and_clashing_names(make, prose):
+    long, p = prose(60_000, 9), prose(90, 8)
+    w = long.split(" ")
+    rows = [(1, p), (2, long), (3, " ".join([*w[:30_000], p, *w[30_000:]])), (4, f"{prose(20, 1)} {' '.join(w[40_000:40_080])}"), (5, p), (5, p)]
+    df = make(rows).selectExpr("*", "1 as __cut", "2 as _spans", "3 as _hash", "4 as text_hash", "5 as start")
+    out = substrings.cut_duplicates(df)
+    assert out.columns == df.columns
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert set(text) == {1, 2, 4} and text[2] == long and text[4].rstrip(" .,\n") == prose(20, 1).rstrip(" .,\n")  # 3 is all of 2 and of 1, 5 all of 1
+
+
 def test_substrings_of_texts_under_one_id(make, prose):
     p, q, clean = prose(80, 1), prose(80, 2), prose(200, 3)
     rows = [(1, f"{prose(60, 4)} {p}"), (2, q), (7, clean), (7, f"{prose(30, 5)} {p} end"), (7, f"{q} {prose(30, 6)}"), (8, f"{clean} tail")]
@@ -213,6 +224,95 @@ def test_toxicity(make, prose):
     assert {r.score for r in toxicity.score(make(rows[:9]), none).collect()} == {0.0} and toxicity.score(make([]), labelled).count() == 0
 
 
+def likelihood_by_force(samples, order):
+    """log p(word) of both classes by interpolated Kneser-Ney over letters, from dictionaries."""
+    d = toxicity.DISCOUNT
+    letters = lambda w: ["<", *w, ">"]
+    top = [{}, {}]
+    for c, texts in enumerate(samples):
+        for t in texts:
+            for w in tokens(t):
+                w = letters(w.encode())
+                for i in range(1, len(w)):
+                    g = tuple(w[max(0, i - order + 1) : i + 1])
+                    top[c][g] = top[c].get(g, 0) + 1
+    levels, count = {}, {g: top[0].get(g, 0) + top[1].get(g, 0) for g in {**top[0], **top[1]}}
+    for k in range(order - 1, 0, -1):
+        shorter = {}
+        for g, n in count.items():  # one for each longer gram that ends so, or the counts themselves where the word begins
+            shorter[g[-k:]] = shorter.get(g[-k:], 0) + (1 if len(g) > k else n)
+        levels[k] = count = shorter
+
+    def interpolated(counts, g, lower):
+        after = {x: n for x, n in counts.items() if x[:-1] == g[:-1] and n > 0}
+        total = sum(after.values())
+        return max(after.get(g, 0) - d, 0) / total + d * len(after) / total * lower if total else lower
+
+    def word(w, c):
+        w, out = letters(w.encode()), 0.0
+        for i in range(1, len(w)):
+            seen, p = min(i + 1, order), 1 / 256
+            for k in range(1, order):
+                if k <= i + 1:
+                    p = interpolated(levels[k], tuple(w[i - k + 1 : i + 1]), p)
+            out += np.log(interpolated(top[c], tuple(w[i - seen + 1 : i + 1]), p))
+        return out
+
+    return word
+
+
+def test_op5_against_brute_force(prose):
+    """Likelihoods of words, and scores of texts, beside Kneser-Ney from dictionaries."""
+    import pyarrow as pa
+
+    fine, bad = [prose(40, k) for k in range(4)], [f"{prose(15, 9)} zorkfuq blargnak zorkfuqed é"]
+    model = toxicity.Model(tuple(toxicity._distinct_words(pa.array(x)) for x in (fine, bad)))
+    word = likelihood_by_force((fine, bad), toxicity.ORDER)
+    texts = [prose(12, 1), "zorkfuq", "zorkfuqs never blargnak", "Unseen wörds qqqqqqqq", "a", "", None]
+    got = toxicity.Scorer(model).scores(pa.array(texts))
+    for t, s in zip(texts, got):
+        own = [np.logaddexp(np.log1p(-toxicity.SHARE) + word(w, 0), np.log(toxicity.SHARE) + word(w, 1)) - word(w, 0) for w in tokens(t or "")]
+        assert abs(s - (sum(own) / len(own) if own else 0)) < 1e-3 * max(1, abs(s))
+
+
+def test_toxicity_at_the_threshold(make, prose):
+    """A score equal to the threshold is toxic; texts without words never are; a very long text is scored whole."""
+    import pyarrow as pa
+
+    bad = [f"{prose(15, 9)} zorkfuq blargnak"]
+    model = toxicity.Model(tuple(toxicity._distinct_words(pa.array(x)) for x in ([prose(40, k) for k in range(4)], bad)))
+    long = prose(60_000, 3)
+    column = pa.array([long, long + " zorkfuq" * 50_000, "zorkfuq", "", None, "..."])
+    scorer = toxicity.Scorer(model)
+    s, at = scorer.toxic(column, float(scorer.scores(column)[2]))
+    assert at.tolist() == [False, False, True, False, False, False] and s[1] > s[0]
+    assert scorer.toxic(column, -1.0)[1].tolist() == [True, True, True, False, False, False]
+    assert scorer.toxic(column, float(np.nextafter(s[2], 9)))[1].tolist() == [False] * 6
+
+
+def test_pipeline_of_edges(spark, make, prose, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing names and an empty table pass all stages."""
+    p = prose(120, 1)
+    rows = [*EDGES, (20, p), (21, f"{prose(80, 2)} {p}"), (22, p.upper()), (22, p.upper()), (23, prose(30_000, 4))]
+    for name, data in (("full", rows), ("empty", [])):
+        folder = tmp_path / name
+        make(data).selectExpr("*", "1 as __gone", "2 as _spans", "3 as part").write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(20, 0), (None, 1), (21, None)] if data else [], "doc_id long, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(folder))
+            assert docs.columns == [*make([]).columns, "__gone", "_spans", "part"]
+        kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in docs.collect())
+        windows = corpus_pipeline.run(spark, str(folder)).collect()
+        if not data:
+            assert not kept and not windows
+            continue
+        ids = [i for none, i, _ in kept if not none]
+        assert {1, 2, 3, 4, 6, 7, 20, 21, 23} <= set(ids) and 22 not in ids and ids.count(5) == 2 and sum(none for none, _, _ in kept) == 1
+        assert next(t for _, i, t in kept if i == 21).rstrip(" .,\n") == prose(80, 2).rstrip(" .,\n")
+        assert {x.doc_id for r in windows for x in r.pieces} >= {5, 6, 7, 20, 21, 23}
+
+
 def test_op5_held_out(spark):
     """Fitted on half the labels, measured on the other half; the README says what the misses of this table are."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
