@@ -2,7 +2,7 @@
 
 Counting and scoring are one pass over the corpus and one exchange with the trie. Every partition cuts its texts into
 chunks, counts each chunk's distinct trigrams, and with them its bigrams and words, which are their prefixes, and sends
-each n-gram once to the shard of its context. A shard adds up, keeps what was seen ``KEEP`` times or more, which is all of it, and
+each n-gram once to the shard of its context, all of a shard's as one row, so that there are never more rows than contexts. A shard adds up, keeps what was seen ``KEEP`` times or more, which is all of it, and
 writes the levels of its part of the trie to the shared folder: contexts, monotone pointers to the begin of each context's
 successors, and the successors, numbered relative to their context, all three as Elias-Fano sequences; probabilities and
 back-off weights are quantised to a byte. It maps the levels into memory and answers each chunk's n-grams by successor
@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.blocks import lean, lean_group, partitions
+from framewright.blocks import lean, lean_group, partitions, tidy
 from framewright.llm.arrays import gather_ranges, hash_spans, mix64, segment_sums, text_chunks, words
 from framewright.llm.common import settled, texts
 from framewright.llm.eliasfano import EliasFano
@@ -45,8 +45,8 @@ CHUNK_WORDS = 2_000_000
 SHARE_STEP, REST_STEP = 7.0, 16.0  # codes a factor of two
 _BEGIN, _END = 0, 1
 _MARKS = np.array([0x9E6C63D0876A9A99, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
-_SENT = "bucket int, level int, chunk long, contexts binary, fans binary, successors binary, counts binary"
-_ANSWER = "chunk long, level int, bucket int, rests binary, shares binary, total long, kinds long"
+_SENT = "bucket int, chunk long, c3 binary, f3 binary, s3 binary, n3 binary, c2 binary, f2 binary, s2 binary, n2 binary, c1 binary, n1 binary"
+_ANSWER = "chunk long, bucket int, r3 binary, p3 binary, r2 binary, p2 binary, p1 binary, total long, kinds long"
 _SCORES = "doc_id long, n_words long, log_prob double, perplexity double"
 
 
@@ -190,7 +190,8 @@ class Ngrams:
         return {"contexts": contexts[used][order], "fans": fans, "successors": successors[at][by], "counts": counts[at][by], "place": place}
 
     def rows(self, chunk: int, buckets: int, counted: bool) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {name: [] for name in ("bucket", "level", "chunk", "contexts", "fans", "successors", "counts")}
+        """A row a shard that the chunk has n-grams for: of each level the contexts' steps, their numbers of successors, those, and counts."""
+        out: dict[int, dict[str, bytes]] = {}
 
         def put(level: int, contexts: np.ndarray, fans: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> None:
             cuts = np.searchsorted(bucket_of(contexts, buckets), np.arange(buckets + 1))
@@ -198,16 +199,18 @@ class Ngrams:
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 s, e = cuts[k], cuts[k + 1]
                 a, z = (ends[s], ends[e]) if level > 1 else (s, e)
-                deltas = np.diff(contexts[s:e], prepend=np.uint64(0))
-                blobs = packed(deltas), packed(fans[s:e].astype("<u4")), packed(successors[a:z]), packed((counts[a:z] if counted else np.zeros(z - a)).astype("<u4"))
-                for name, value in zip(out, (k, level, chunk, *blobs), strict=True):
-                    out[name].append(value)
+                own = out.setdefault(k, {})
+                own[f"c{level}"] = packed(np.diff(contexts[s:e], prepend=np.uint64(0)))
+                own[f"n{level}"] = packed((counts[a:z] if counted else np.zeros(z - a)).astype("<u4"))
+                if level > 1:
+                    own[f"f{level}"], own[f"s{level}"] = packed(fans[s:e].astype("<u4")), packed(successors[a:z])
 
         for level, x in ((3, self.levels[0]), (2, self.levels[1])):
             put(level, x["contexts"], x["fans"], x["successors"], x["counts"])
         put(1, self.words, np.zeros(0, np.int64), np.zeros(0, np.uint32), self.word_counts)
-        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+        names = ("c3", "f3", "s3", "n3", "c2", "f2", "s2", "n2", "c1", "n1")
+        columns = [pa.array(list(out), pa.int32()), pa.array([chunk] * len(out), pa.int64()), *(pa.array([x.get(n) for x in out.values()], pa.binary()) for n in names)]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", *names])
 
 
 def _count(folder: str, buckets: int, scored: bool, counted: bool, chunk_words: int):
@@ -369,44 +372,43 @@ def _serve(folder: str, keep: int):
     def of(group: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
-        bucket = group.column("bucket")[0].as_py()
-        levels, chunks = group.column("level").to_pylist(), group.column("chunk").to_pylist()
-        contexts = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group.column("contexts")]
-        fans = [unpacked(x, "<u4").astype(np.int64) for x in group.column("fans")]
-        successors = [unpacked(x, "<u4") for x in group.column("successors")]
-        counts = [unpacked(x, "<u4") for x in group.column("counts")]
+        bucket, chunks = group.column("bucket")[0].as_py(), group.column("chunk").to_pylist()
+
+        def each(name: str, kind: str) -> list[np.ndarray]:
+            return [unpacked(x, kind) if x.is_valid else np.zeros(0, kind) for x in group.column(name)]
+
+        contexts = {k: [np.cumsum(x, dtype=np.uint64) for x in each(f"c{k}", "<u8")] for k in (1, 2, 3)}
+        fans = {k: [x.astype(np.int64) for x in each(f"f{k}", "<u4")] for k in (2, 3)}
+        successors = {k: each(f"s{k}", "<u4") for k in (2, 3)}
         own: dict[int, tuple] = {}
         for level in (1, 2, 3):
-            rows = [i for i, x in enumerate(levels) if x == level]
-            cat = lambda xs, kind: np.concatenate([xs[i] for i in rows]) if rows else np.zeros(0, kind)  # noqa: B023, E731
-            n = cat(counts, np.uint32).astype(np.int64)
+            n = np.concatenate(each(f"n{level}", "<u4")).astype(np.int64)
             seen = n > 0  # texts that are only scored do not count
             if level == 1:
-                keys, back = np.unique(cat(contexts, np.uint64)[seen], return_inverse=True)
+                keys, back = np.unique(np.concatenate(contexts[1])[seen], return_inverse=True)
                 own[1] = keys, np.bincount(back, weights=n[seen], minlength=len(keys))
             else:
-                wide = np.repeat(cat(contexts, np.uint64), cat(fans, np.int64))
-                own[level] = summed(wide[seen], cat(successors, np.uint32)[seen], n[seen])
+                wide = np.repeat(np.concatenate(contexts[level]), np.concatenate(fans[level]))
+                own[level] = summed(wide[seen], np.concatenate(successors[level])[seen], n[seen])
+            del n
         path = f"{folder}/trie/{bucket}.{TaskContext.get().taskAttemptId()}"
         write_bytes(path, Trie.build(own.pop(1), own, keep))
-        del own, counts
+        del own
+        tidy()
         trie = Trie.open(path)
-        out = {"chunk": [-1], "level": [0], "bucket": [bucket], "rests": [b""], "shares": [b""]}
-        for i, (level, chunk) in enumerate(zip(levels, chunks, strict=True)):
-            if chunk < 0:
-                continue
-            if level == 1:
-                rest, share = b"", packed(trie.word_counts(contexts[i]))
-            else:
-                rest, share = trie.search(level, contexts[i], fans[i], successors[i])
-                rest, share = packed(rest), packed(share)
-            for name, value in zip(out, (chunk, level, bucket, rest, share), strict=True):
-                out[name].append(value)
+        names = ("chunk", "r3", "p3", "r2", "p2", "p1")
+        out: list[tuple] = [(-1, None, None, None, None, None)]
+        for i, chunk in enumerate(chunks):
+            if chunk >= 0:
+                found = [trie.search(k, contexts[k][i], fans[k][i], successors[k][i]) if len(contexts[k][i]) else None for k in (3, 2)]
+                blobs = [packed(x) if f is not None else None for f in found for x in (f or (None, None))]
+                out.append((chunk, *blobs, packed(trie.word_counts(contexts[1][i])) if len(contexts[1][i]) else None))
         remove(path)
-        m = len(out["chunk"])
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        totals = [pa.array([x, *[None] * (m - 1)], pa.int64()) for x in (trie.total, trie.kinds)]
-        return pa.Table.from_arrays([*(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)), *totals], names=[*out, "total", "kinds"])
+        m = len(out)
+        kinds = [pa.int64(), *[pa.binary()] * 5]
+        columns = dict(zip(names, (pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)), strict=True))
+        totals = {n: pa.array([x, *[None] * (m - 1)], pa.int64()) for n, x in (("total", trie.total), ("kinds", trie.kinds))}
+        return pa.table({"chunk": columns.pop("chunk"), "bucket": pa.array([bucket] * m, pa.int32()), **columns, **totals})
 
     return of
 
@@ -418,18 +420,17 @@ def _score(folder: str, total: int, kinds: int):
     """A chunk's answers, put together with its texts."""
 
     def of(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("level", "ascending"), ("bucket", "ascending")])
+        group = group.sort_by([("bucket", "ascending")])
         chunk = group.column("chunk")[0].as_py()
-        level = group.column("level").to_numpy()
-        codes = lambda name, k, kind: np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in group.column(name).filter(pa.array(level == k)))])
+        codes = lambda name, kind: np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in group.column(name) if x.is_valid)])
         source = pa.BufferReader(pa.py_buffer(mapped(f"{folder}/texts/{chunk}")))
         text, kept = pa.ipc.open_stream(source).read_all(), pa.ipc.open_stream(source).read_all()
         n, null = text.column("counts").to_numpy(), text.column("null").to_numpy()
         grams = Ngrams(np.frombuffer(kept.column("vocabulary")[0].as_buffer(), "<u8"), unpacked(kept.column("words")[0], "<u4").astype(np.int64), n, True)
-        counts = codes("shares", 1, "<f4").astype(np.float64)
+        counts = codes("p1", "<f4").astype(np.float64)
         p = (np.maximum(counts - DISCOUNT, 0) / max(total, 1) + DISCOUNT * max(kinds, 1) / max(total, 1) / (kinds + 1))[grams.first]
         for at, k, own in ((grams.second, 2, grams.levels[1]), (grams.third, 3, grams.levels[0])):
-            p = SHARE_OF[codes("shares", k, "u1")][at] + REST_OF[np.repeat(codes("rests", k, "u1"), own["fans"])][at] * p
+            p = SHARE_OF[codes(f"p{k}", "u1")][at] + REST_OF[np.repeat(codes(f"r{k}", "u1"), own["fans"])][at] * p
         logs = segment_sums(np.log(p), np.where(n > 0, n + 1, 0))
         none = null | (n == 0) | (total == 0)
         return pa.table(
@@ -454,4 +455,4 @@ def score(df: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id"
     served = reduce(DataFrame.unionByName, sent).groupBy("bucket").applyInArrow(lean_group(_serve(folder, keep)), _ANSWER)
     answers = materialise(served, "answers")
     total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    return answers.filter("chunk >= 0").select("chunk", "level", "bucket", "rests", "shares").groupBy("chunk").applyInArrow(lean_group(_score(folder, int(total), int(kinds))), _SCORES)
+    return answers.filter("chunk >= 0").select("chunk", "bucket", "r3", "p3", "r2", "p2", "p1").groupBy("chunk").applyInArrow(lean_group(_score(folder, int(total), int(kinds))), _SCORES)
