@@ -3,6 +3,11 @@ earlier document are cut out, and what is left is packed into windows of tokens.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the docs of
 the next. All stages but the last keep the columns of ``documents``.
+
+Defined results: rows with a null id or a null or empty text, and texts without words, pass the first three stages unchanged, but that of equal
+empty texts one stays; null texts give no tokens. Rows that repeat an id and a text are one document and pass or go together; different texts
+under an id are documents of their own. A document whose whole text repeats earlier ones goes. Extra columns, whatever their names, are
+kept up to packing, which reads only the id and the text. An empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import packing, simhash, substrings, toxicity
 from framewright.llm.common import table
-from framewright.storage import materialise
+from framewright.storage import materialise, release, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +51,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, name)
+            # What led to a stage's table is no longer needed once that is written.
+            release(before | {p for p in written() if p.rpartition("/")[2].startswith(f"{name}-")})
     return docs
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Arrow", "Python", "Pandas", "rand(")) else materialise(df, "settled")
 
 
+def ship(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file, a few megabytes, to every worker, whether or not it has the path itself."""
+    spark.sparkContext.addFile(path)
+
+
+def local_copy(path: str) -> str:
+    """Where a file that was shipped lies on this machine; the path itself where none was."""
+    from pyspark import SparkFiles
+
+    try:
+        own = SparkFiles.get(path.rsplit("/", 1)[-1])
+    except Exception:  # outside of Spark
+        return path
+    return own if os.path.exists(own) else path
+
+
 def int_lists(values, counts) -> pa.ListArray:
     """Arrow lists of int32 from the values one after the other and each list's length."""
     import numpy as np

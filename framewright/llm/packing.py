@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from framewright.blocks import lean
 from framewright.llm.arrays import pretokens, segment_sums, text_chunks
-from framewright.llm.common import int_lists, texts
+from framewright.llm.common import int_lists, ship, texts
 from framewright.llm.pieces import DEFAULT_RANKS, bpe_cache, byte_bpe
 from framewright.storage import materialise
 
@@ -143,6 +143,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """Rows (window_id, n_tokens, tokens, pieces): the input's tokens in windows of ``window``; all but the last are full."""
     if window < 1:
         raise ValueError("window must be positive")
+    ship(df.sparkSession, ranks_path)
     _, end = byte_bpe(ranks_path)
     kind = "<u2" if end < 1 << 16 else "<i4"
     docs = texts(df, id_col, text_col)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 
 from framewright.llm.arrays import HashIndex, gather_ranges, hash_spans
+from framewright.llm.common import local_copy
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,7 +70,7 @@ _encoders: dict[str, PieceCache] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
+    with open(local_copy(path), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 

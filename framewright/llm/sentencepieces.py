@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from framewright.blocks import lean
 from framewright.llm.arrays import PAD, gather_ranges, segment_sums, text_chunks
-from framewright.llm.common import int_lists, texts
+from framewright.llm.common import int_lists, local_copy, ship, texts
 from framewright.llm.pieces import PieceCache
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -64,7 +64,7 @@ class Model:
     """The pieces of a model file, with a blank in place of U+2581."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
+        with open(local_copy(path), "rb") as f:
             raw = f.read()
         self.pieces: list[str] = []
         scores: list[float] = []
@@ -312,6 +312,7 @@ def encode_texts(column: pa.Array, path: str = DEFAULT_MODEL) -> Iterator[tuple[
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """Rows (doc_id, ids, n_tokens, decoded): each whole text's ids, and the text that they decode to."""
+    ship(df.sparkSession, model_path)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, decoder = load(model_path)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from framewright.blocks import lean
 from framewright.llm.arrays import HashIndex, gather_ranges, hash_spans, pretokens, segment_sums, text_chunks
-from framewright.llm.common import texts
+from framewright.llm.common import ship, texts
 from framewright.llm.pieces import DEFAULT_RANKS, bpe_cache, byte_bpe
 
 FREQUENT = 16_384  # entries of the broadcast table: its size never grows with the data
@@ -129,6 +129,7 @@ def length_table(spans: list[bytes], ranks_path: str) -> tuple[np.ndarray, np.nd
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = DEFAULT_RANKS, frequent: int = FREQUENT) -> DataFrame:
     """Rows (doc_id, n_tokens): the number of byte-level BPE tokens of each whole text."""
+    ship(df.sparkSession, ranks_path)
     docs = texts(df, id_col, text_col)
     hashes, lengths = length_table(frequent_pretokens(docs, frequent), ranks_path)
     shared = df.sparkSession.sparkContext.broadcast((hashes, lengths))
