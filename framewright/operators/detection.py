@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -127,18 +128,17 @@ def suppress(boxes: np.ndarray, limit: float = 0.3) -> np.ndarray:
 
 def suppressed(faces: Column | str) -> Column:
     """``suppress`` over a column of boxes; null stays null."""
-    return F.pandas_udf(_suppressed, BOXES)(faces)
+    return F.arrow_udf(_suppressed, BOXES)(faces)
 
 
-def _suppressed(faces: pd.Series) -> pd.Series:
-
-    def one(found):
-        if found is None or not len(found):
-            return found
-        m = np.array([[d[k] for k in ("x1", "y1", "x2", "y2", "score")] for d in found], float)
-        return [found[i] for i in suppress(m)]
-
-    return faces.map(one)
+def _suppressed(faces: pa.Array) -> pa.Array:
+    found, sizes = faces.flatten(), pc.fill_null(pc.list_value_length(faces), 0).to_numpy()
+    boxes = np.stack([found.field(k).to_numpy(zero_copy_only=False) for k in ("x1", "y1", "x2", "y2", "score")], axis=1)
+    ends = np.cumsum(sizes)
+    kept = [a + suppress(boxes[a:z]) if z - a > 1 else np.arange(a, z) for a, z in zip(ends - sizes, ends, strict=True)]
+    offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
+    rows = np.concatenate([np.zeros(0, np.int64), *kept])
+    return pa.ListArray.from_arrays(pa.array(offsets), found.take(pa.array(rows)), mask=faces.is_null())
 
 
 def box_mean(part: np.ndarray, high: int, wide: int) -> np.ndarray:

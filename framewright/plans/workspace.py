@@ -27,6 +27,7 @@ class Workspace:
     _stack: list[Workspace] = []
 
     def __init__(self, spark: SparkSession | None = None, path: str | None = None, observing: bool = False, sharing: bool = True):
+        from framewright.sources.downloads import DownloadCache
         from framewright.sources.memo import MemoStore
         from framewright.sources.objects import ObjectStore
         from framewright.storage import new_path
@@ -39,6 +40,7 @@ class Workspace:
         self.observing, self.sharing = observing, sharing
         self.observations: dict = {}
         self.memo = MemoStore(self.spark, f"{self.path}/memo")
+        self.downloads = DownloadCache(self.spark, f"{self.path}/downloads")
         self.objects = ObjectStore(self.spark, f"{self.path}/objects")
 
     def resolve(self, path: str) -> str:

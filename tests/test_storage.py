@@ -12,6 +12,7 @@ from framewright.graph import connected_components
 from framewright.models.codec import decode_png, encode_png, resize
 from framewright.nodes import From, Load, Save, Workspace
 from framewright.similarity import plan, vector_classes
+from framewright.sources.downloads import DownloadCache
 from framewright.sources.images import read_header
 from framewright.sources.memo import MemoStore
 from framewright.sources.objects import ObjectStore
@@ -223,3 +224,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["-w", str(tmp_path / "w"), "run", str(script)], spark) == 0
     with pytest.raises(SystemExit):
         main(["nonsense"], spark)
+
+
+def test_downloads(spark, tmp_path):
+    source = tmp_path / "model.bin"
+    source.write_bytes(bytes(3_000_000))
+    cache = DownloadCache(spark, str(tmp_path / "cache"))
+    url = source.as_uri()
+    path = cache.fetch(url)
+    fs, at = storage.filesystem(path)
+    assert path.endswith(".bin") and Path(at).read_bytes() == bytes(3_000_000)
+    source.unlink()
+    assert cache.fetch(url) == path  # it is there
+    with pytest.raises(OSError):
+        cache.fetch(url + "x", "models/other")
+    assert [p.name for p in (tmp_path / "cache").rglob("*") if p.is_file() and not p.name.startswith(".")] == [Path(at).name]
