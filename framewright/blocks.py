@@ -192,7 +192,7 @@ def classed(kinds: DataFrame, edges: DataFrame, names: list[str], columns: list[
     sizes = large(roots.groupBy("root").agg(F.count("*").alias("n")), block)
     rows = dealt(members.select("root", "kind", "copies", *columns), "root", "kind", sizes, roots.count(), block)
     links = rows.groupBy("part").applyInArrow(lean_group(links_of("kind", payload, near)), "kind long, links long").groupBy("kind").agg(F.sum("links").alias("near"))
-    least = members.groupBy("root").agg(F.min("first").alias("least"))
-    found = kinds.join(roots, "kind", "left").join(least, "root", "left").join(links, "kind", "left")
+    least = roots.join(members.groupBy("root").agg(F.min("first").alias("least")), "root").select("kind", "least")
+    found = kinds.join(least, "kind", "left").join(links, "kind", "left")  # by kind, which is never null: most kinds have no root
     first = F.coalesce("least", "first")
     return found.select(*columns, *(first[c].alias(f"first_{c}") for c in names), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
