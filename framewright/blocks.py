@@ -70,6 +70,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tallied(f: Callable, name: str) -> Callable:
+    """For mapInArrow: instead of f's rows, how many there are of each value of a column, (name, n), added up batch by batch."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in f(batches):
+            found, n = np.unique(batch.column(name).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=[name, "n"])
+
+    return of
+
+
 def large(sizes: DataFrame, block: int = BLOCK) -> DataFrame | None:
     """Of rows (group, n) those of large groups, as a written table, or None; each stands for more than ``block`` rows."""
     found = materialise(sizes.filter(F.col("n") > block), "large")
