@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.blocks import BLOCK, column, large, lean_group
+from framewright.blocks import BLOCK, column, large, lean, lean_group, tallied
 from framewright.llm.arrays import gather_ranges
 from framewright.llm.vectors import matrix, sampled, unit_vectors
 from framewright.storage import materialise
@@ -292,8 +292,9 @@ def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: st
     turned = learn(sample, width, bits)
     z = deviations(sample, encode(sample, turned, bits), k, bits) if n else LEAST_Z
     # The first look.
-    first = kinds.select("kind", "asks", "v").mapInArrow(_first_places(width, turned, bits, first_bits(n, first_part)), "place long, kind long, asks boolean, v array<float>")
-    sizes = kinds.select("kind", "asks", "v").mapInArrow(_first_places(width, turned, bits, first_bits(n, first_part)), "place long, kind long, asks boolean, v array<float>").groupBy("place").agg(F.count("*").alias("n"))
+    vectors, own_places = kinds.select("kind", "asks", "v"), _first_places(width, turned, bits, first_bits(n, first_part))
+    first = vectors.mapInArrow(lean(own_places), "place long, kind long, asks boolean, v array<float>")
+    sizes = vectors.mapInArrow(lean(tallied(own_places, "place")), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     looked = _blocks(first, large(sizes, 4 * first_part), block).groupBy("place", "block").applyInArrow(lean_group(_look(width, k, names, sample)), _FOUND)
     seen = materialise(looked.groupBy("query", "kind").agg(F.max("s").alias("s")), "seen")
     ranked = seen.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "kind")))
@@ -301,9 +302,9 @@ def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: st
     # The index and its probes.
     t = first_bits(n, part)
     queries = kinds.filter("asks").join(bounds, "kind", "left").select("kind", F.coalesce("bound", F.lit(-1.0)).alias("bound"), "v")
-    probes = queries.mapInArrow(_probe_places(width, turned, bits, t, z), "place long, kind long, bound double, v array<float>, reach long")
-    index = kinds.select("kind", "v").mapInArrow(_index_places(width, turned, bits, t), "place long, kind long, code binary, v array<float>")
-    hot = large(index.groupBy("place").agg(F.count("*").alias("n")), 4 * part)
+    probes = queries.mapInArrow(lean(_probe_places(width, turned, bits, t, z)), "place long, kind long, bound double, v array<float>, reach long")
+    index = kinds.select("kind", "v").mapInArrow(lean(_index_places(width, turned, bits, t)), "place long, kind long, code binary, v array<float>")
+    hot = large(kinds.select("kind", "v").mapInArrow(lean(tallied(_index_places(width, turned, bits, t), "place")), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")), 4 * part)
     left = _blocks(probes, hot, block, everywhere=True).groupBy("place", "block")
     right = _blocks(index, hot, block).groupBy("place", "block")
     met = left.cogroup(right).applyInArrow(lean_group(_retrieve(width, turned, bits, k)), _FOUND)

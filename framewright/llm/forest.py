@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.blocks import BLOCK, classed, column, dealt, large, lean, lean_group, near_pairs, stars
+from framewright.blocks import BLOCK, classed, column, dealt, large, lean, lean_group, near_pairs, stars, tallied
 from framewright.llm.vectors import alike, matrix, sampled, unit_vectors
 from framewright.storage import materialise
 
@@ -148,15 +148,6 @@ def _place(width: int, trees: list[Tree]):
     return of
 
 
-def _counted(width: int, trees: list[Tree]):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _place(width, trees)(batches):
-            found, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["place", "n"])
-
-    return of
-
-
 def _compare(width: int, threshold: float):
     def of(group: pa.Table) -> pa.Table:
         m, ids = matrix(group.column("v"), width), column(group, "kind")
@@ -186,7 +177,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     n = kinds.count()
     trees = grown(sampled(kinds, "kind", "v", n, width, SAMPLE)[1], n, max(width, 1), threshold)
     vectors = kinds.select("kind", "v")
-    sizes = large(vectors.mapInArrow(lean(_counted(width, trees)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")), PLACE_MOST)
+    sizes = large(vectors.mapInArrow(lean(tallied(_place(width, trees), "place")), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")), PLACE_MOST)
     rows = dealt(vectors.mapInArrow(lean(_place(width, trees)), "place long, kind long, v array<float>"), "place", "kind", sizes, 2.0 * n * len(trees), block)
     edges = rows.groupBy("part").applyInArrow(lean_group(_compare(width, threshold)), "a long, b long")
     found = classed(kinds, edges, ["vec_id"], ["v"], lambda t: matrix(t.column("v"), width), lambda a, b: alike(a, b, threshold), block)
