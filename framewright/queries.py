@@ -229,7 +229,7 @@ roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1), clusters AS (SE
 
 @query(f"{_CLUSTERS_SQL} SELECT printf('%08d', node) AS objectid, printf('%08d', root) AS root, size FROM clusters")
 def fuzzy_cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_clusters(_vectors(spark, sf_dir), THRESHOLD)
+    return fuzzy_clusters(_vectors(spark, sf_dir), THRESHOLD).select("objectid", "root", "size")
 
 
 @query(f"""{_CLUSTERS_SQL}, ranked AS (SELECT c.*, row_number() OVER (PARTITION BY root ORDER BY e.label DESC, node) AS k FROM clusters c JOIN embeddings e ON e.vec_id = node)
