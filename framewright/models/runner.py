@@ -10,7 +10,6 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 log = logging.getLogger("framewright")
 
