@@ -172,8 +172,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     """Rows (vec_id, class_id, links): the least id of a vector's class, and how many other rows are near it."""
     own, _, width = unit_vectors(df, id_col, vector_col)
     own = materialise(own, "vectors")
-    alike_ = own.groupBy("v").agg(F.min(F.struct("vec_id")).alias("first"), F.count("*").alias("copies"))
-    kinds = materialise(alike_.withColumn("kind", F.col("first.vec_id")), "kinds")
+    equal = own.groupBy("v").agg(F.min("vec_id").alias("kind"), F.count("*").alias("copies"))
+    kinds = materialise(equal.withColumn("first", F.struct(F.col("kind").alias("vec_id"))), "kinds")
     n = kinds.count()
     trees = grown(sampled(kinds, "kind", "v", n, width, SAMPLE)[1], n, max(width, 1), threshold)
     vectors = kinds.select("kind", "v")
