@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import logging
+import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -90,6 +92,9 @@ def _write_text(spark: SparkSession, path: str, pieces: Iterator[str]) -> None:
 class Save(Operator):
     """Write images, captions and sidecars to a folder that all executors share, which is deleted first; rows pass unchanged.
 
+    An image is taken from the object store, else from its original path. Where neither has it, or the path's folder may
+    not be entered, the row's caption and sidecar are written all the same, and a warning says how many images are missing.
+
     ``table`` writes one Parquet table (file, content, caption, sidecar) instead of a file a row, which suits object
     stores and very many rows.
     """
@@ -110,6 +115,7 @@ class Save(Operator):
             rows.select(F.col("_file").alias("file"), "content", "caption", "sidecar").write.parquet(target)
         else:
             folder, caption_ext = qualified(self.workspace.spark, target), self.caption_ext
+            missing = self.workspace.spark.sparkContext.accumulator(0)
 
             def write(part: Iterator[Row]) -> None:
                 fs, at = filesystem(folder)
@@ -123,17 +129,21 @@ class Save(Operator):
                     source = Path(r.original_path)
                     if r.content is not None:
                         put(r._file, bytes(r.content))
-                    elif source.exists():
+                    elif os.path.exists(source):  # unlike Path.exists not an error where the path can't be asked for
                         if isinstance(fs, pafs.LocalFileSystem):
                             _link(source, Path(at) / r._file)
                         else:
                             put(r._file, source.read_bytes())
+                    else:
+                        missing.add(1)
                     if r.caption:
                         put(f"{r._stem}{caption_ext}", r.caption.encode())
                     if r.sidecar:
                         put(f"{r._stem}.json", r.sidecar.encode())
 
             rows.foreachPartition(write)
+            if missing.value:
+                logging.getLogger("framewright").warning("%s: %d images are neither in the object store nor at their original path", target, missing.value)
         if self.index and not dataset.isEmpty():
             _write_text(self.workspace.spark, f"{target}/index.html" if not self.table else f"{target}.html", index_html(named.drop("_stem")))
         return dataset
@@ -141,7 +151,6 @@ class Save(Operator):
 
 def _link(source: Path, target: Path) -> None:
     """A hard link, or a copy where there can be none."""
-    import os
     import shutil
 
     target.unlink(missing_ok=True)

@@ -107,6 +107,22 @@ def test_save_numbers_repeats_and_writes_captions(spark, tmp_path, images):
     assert out == sorted(["p_x.txt"] + [f"p_x_{k}.txt" for k in (1, 2, 5, 6, 7, 8, 9)])  # null and empty captions write none
 
 
+def test_save_without_the_images(spark, tmp_path, images, caplog):
+    """Paths that can't be asked for are as those of no file: one with too long a name, and one in a folder that only others may enter."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p0.png").write_bytes(b"picture")
+    (tmp_path / "shut").mkdir(mode=0)
+    folder = F.when(F.col("_pos") == 0, f"{tmp_path}/in").when(F.col("_pos") == 1, f"{tmp_path}/{'x' * 300}").otherwise(f"{tmp_path}/shut")
+    moved = images.withColumn("original_path", F.concat(folder, F.regexp_extract("original_path", "/[^/]*$", 0)))
+    with Workspace(spark, str(tmp_path / "w")) as w:
+        From(moved) >> Save("o", index=False)
+        w.run()
+    out = [p.name for p in (tmp_path / "w" / "o").iterdir() if not p.name.startswith(".")]
+    assert sum(x.endswith(".txt") for x in out) == 8 and sum(x.endswith(".json") for x in out) == 10
+    assert [x for x in out if x.endswith(".png")] == [f"p0_{0:064x}.png"]
+    assert "9 images are neither" in caplog.text
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
