@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from framewright import views as V
+from framewright.blocks import partitions
 from framewright.graph import connected_components
 from framewright.models.runner import FunctionBackend
 from framewright.nodes import (
@@ -54,7 +55,7 @@ def _write_files(spark: SparkSession, sf_dir: str, folder: str, part: int) -> No
             with fs.open_output_stream(f"{at}/{r.o_custkey}.png") as out:
                 out.write(bytes(r.content))
 
-    rows.foreachPartition(write)
+    rows.repartition(partitions(spark)).foreachPartition(write)
     fs, at = filesystem(folder)
     with fs.open_output_stream(f"{at}/no image {part}.jpg") as out:
         out.write(b"text")

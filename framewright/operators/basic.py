@@ -35,7 +35,7 @@ class Load(Operator):
     def eval(self) -> DataFrame:
         spark = self.workspace.spark
         files = list_images(spark, self.folder)
-        known = self.workspace.memo.fill(files, memo_key_column("load", F.col("original_path")), lambda misses: read_facts(spark, self.folder, misses), "_facts", FACTS, scope="load")
+        known = self.workspace.memo.fill(files, memo_key_column("load", F.col("original_path")), read_facts, "_facts", FACTS, scope="load")
         return with_positions(known.filter("_facts is not null").select("original_path", "_facts.objectid", extension(F.col("original_path")).alias("ext"), "_facts.width", "_facts.height", "_facts.format"), "original_path")
 
 

@@ -158,8 +158,13 @@ class MemoStore:
         scope, that of all the keys, only its own folders are read.
         """
         found = lookup(rows, self.entries(scope), key, domain, kind, target)
-        misses = found.filter(~F.col("_cached")).drop(target, "_cached").withColumn("_key", key).dropDuplicates(["_key"])
-        if not misses.isEmpty():
+        lacking = found.filter(~F.col("_cached")).drop(target, "_cached") if self._has(scope) else rows
+        if not lacking.isEmpty():  # of rows, as their keys need a pass over all to tell apart
+            misses = lacking.withColumn("_key", key).dropDuplicates(["_key"])
             self.put(work(misses).select(F.col("_key").alias("key"), F.lit(domain).cast("string").alias("domain"), "value"))
             found = lookup(rows, self.entries(scope), key, domain, kind, target)
         return found.drop("_cached")
+
+    def _has(self, scope: str | None) -> bool:
+        """Whether there may be entries, of the scope or of any."""
+        return any(scope is None or exists(self.spark, f"{p}/scope={scope}") for p in self._parts())
