@@ -255,3 +255,29 @@ def test_downloads(spark, tmp_path):
     with pytest.raises(OSError):
         cache.fetch(url + "x", "models/other")
     assert [p.name for p in (tmp_path / "cache").rglob("*") if p.is_file() and not p.name.startswith(".")] == [Path(at).name]
+
+
+def test_no_process_names_all_files(spark, tmp_path):
+    """Listing and ingest leave no names of images with the driver: the plan scans a table of names, the stream's log has that table's files."""
+    from framewright.sources.images import list_images, read_images
+
+    want = []
+    for k in range(60):
+        at = tmp_path / "in" / f"d{k % 3}" / ("deep" if k % 2 else "")
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"p{k} é.png").write_bytes(encode_png(picture(8, 4, seed=k)))
+        want.append(str(at / f"p{k} é.png"))
+    for name in (".hidden.png", "_also.png", "no image.txt"):
+        (tmp_path / "in" / name).write_bytes(b"x")
+    (tmp_path / "in" / "_temporary").mkdir()
+    (tmp_path / "in" / "_temporary" / "q.png").write_bytes(encode_png(picture(3, 3)))
+    found = list_images(spark, f"{tmp_path}/i?")
+    assert sorted(r.original_path for r in found.collect()) == sorted(want)
+    assert len(found.inputFiles()) < 60 and not any(x.endswith(".png") for x in found.inputFiles())
+    assert sorted((r.original_path, bytes(r.content)) for r in read_images(spark, str(tmp_path / "in"), True).collect()) == sorted((p, Path(p).read_bytes()) for p in want)
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 60
+    logs = [p.read_text() for p in (tmp_path / "c" / "sources").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert logs and not any(".png" in x for x in logs)
+    with pytest.raises(FileNotFoundError):
+        list_images(spark, str(tmp_path / "none"))
