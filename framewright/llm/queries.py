@@ -59,10 +59,11 @@ _MOVED = ((1, 31, 17, 7, 0.004), (2, 13, 29, 5, 0.02), (3, 7, 11, 9, 0.03))
 def embedding_duplicates_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last operator on data that has near copies at every scale."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    own = e.withColumnRenamed("vec_id", "own")  # within a lambda a new column's name would count before the old column's
 
     def moved(k: int, a: int, b: int, m: int, by: float) -> DataFrame:
-        shift = lambda x, i: (x.cast("double") + ((F.col("vec_id") * a + i * b) % m - m // 2) * F.lit(by)).cast("float")
-        return e.select((F.col("vec_id") + k * 10_000_000).alias("vec_id"), F.transform("embedding", shift).alias("embedding"))
+        shift = lambda x, i: (x.cast("double") + ((F.col("own") * a + i * b) % m - m // 2) * F.lit(by)).cast("float")
+        return own.select((F.col("own") + k * 10_000_000).alias("vec_id"), F.transform("embedding", shift).alias("embedding"))
 
     return forest.near_duplicates(reduce(DataFrame.unionByName, (moved(*x) for x in _MOVED), e))
 
