@@ -17,6 +17,7 @@ from framewright.plans.operator import Operator
 
 DETECTIONS = "array<struct<class:string,score:double,box:array<int>>>"
 BOXES = "array<struct<x1:double,y1:double,x2:double,y2:double,score:double>>"
+TOGETHER = 64  # boxes of a group, up to which groups are suppressed many at a time
 METHODS = ("blur", "solid", "none", "mosaic")
 
 
@@ -126,6 +127,23 @@ def suppress(boxes: np.ndarray, limit: float = 0.3) -> np.ndarray:
     return np.flatnonzero(~gone)
 
 
+def suppress_equal(boxes: np.ndarray, limit: float = 0.3) -> np.ndarray:
+    """Which boxes ``suppress`` keeps, of groups (groups, boxes, 5) of one size, all groups at a time."""
+    order = np.argsort(-boxes[:, :, 4], axis=1, kind="stable")
+    x1, y1, x2, y2 = (np.take_along_axis(boxes[:, :, k], order, 1) for k in range(4))
+    area, gone = (x2 - x1) * (y2 - y1), np.zeros(order.shape, bool)
+    for n in range(order.shape[1] - 1):
+        one, rest = slice(n, n + 1), slice(n + 1, None)
+        w = np.minimum(x2[:, one], x2[:, rest]) - np.maximum(x1[:, one], x1[:, rest])
+        h = np.minimum(y2[:, one], y2[:, rest]) - np.maximum(y1[:, one], y1[:, rest])
+        both = np.maximum(w, 0) * np.maximum(h, 0)
+        whole = area[:, one] + area[:, rest] - both
+        gone[:, rest] |= ~gone[:, one] & (whole > 0) & (both >= limit * whole)
+    kept = np.empty_like(gone)
+    np.put_along_axis(kept, order, ~gone, 1)
+    return kept
+
+
 def suppressed(faces: Column | str) -> Column:
     """``suppress`` over a column of boxes; null stays null."""
     return F.arrow_udf(_suppressed, BOXES)(faces)
@@ -134,10 +152,19 @@ def suppressed(faces: Column | str) -> Column:
 def _suppressed(faces: pa.Array) -> pa.Array:
     found, sizes = faces.flatten(), pc.fill_null(pc.list_value_length(faces), 0).to_numpy()
     boxes = np.stack([found.field(k).to_numpy(zero_copy_only=False) for k in ("x1", "y1", "x2", "y2", "score")], axis=1)
-    ends = np.cumsum(sizes)
-    kept = [a + suppress(boxes[a:z]) if z - a > 1 else np.arange(a, z) for a, z in zip(ends - sizes, ends, strict=True)]
-    offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
-    rows = np.concatenate([np.zeros(0, np.int64), *kept])
+    keep, starts = np.ones(len(boxes), bool), np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == size]
+        if size > TOGETHER:
+            for a in at:
+                keep[a : a + size] = False
+                keep[a + suppress(boxes[a : a + size])] = True
+        else:
+            rows = at[:, None] + np.arange(size)
+            keep[rows] = suppress_equal(boxes[rows])
+    total = np.concatenate([[0], np.cumsum(keep)])
+    offsets = total[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+    rows = np.flatnonzero(keep)
     return pa.ListArray.from_arrays(pa.array(offsets), found.take(pa.array(rows)), mask=faces.is_null())
 
 

@@ -150,3 +150,40 @@ def test_strings(spark):
 def test_keys(spark):
     assert memo_key("x") == "x" and memo_key("f", "v1", {"b": 1, "a": 2}) == 'f("v1",{"a"=2,"b"=1})'
     assert spark.range(1).select(memo_key_column("f", "v1", F.lit('q"'))).first()[0] == memo_key("f", "v1", 'q"')
+
+
+def test_suppression_of_many_groups(spark):
+    """Groups of all sizes at once keep what each keeps by itself, also with equal scores and boxes without area."""
+    import numpy as np
+    import pyarrow as pa
+
+    from framewright.operators import detection
+
+    rng, groups = np.random.default_rng(3), []
+    for k in range(300):
+        b = rng.integers(0, 20, (80 if k % 100 == 0 else k % 9, 5)).astype(float)
+        b[:, 2:4] = b[:, :2] + rng.integers(0, 12, (len(b), 2))
+        groups.append(None if k % 50 == 7 else b)
+    names = ("x1", "y1", "x2", "y2", "score")
+    column = pa.array([g if g is None else [dict(zip(names, r, strict=True)) for r in g.tolist()] for g in groups], pa.list_(pa.struct([(n, pa.float64()) for n in names])))
+    alone = detection.suppress
+    calls = []
+    detection.suppress = lambda boxes: calls.append(1) or alone(boxes)
+    try:
+        found = detection._suppressed(column).to_pylist()
+    finally:
+        detection.suppress = alone
+    assert found == [g if g is None else [dict(zip(names, r, strict=True)) for r in g[alone(g)].tolist()] for g in groups]
+    assert len(calls) <= 3  # only groups of 80; before, one a group
+
+
+def test_a_cut_is_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from framewright.functions import geometry as G
+
+    rows = spark.sql("SELECT 1024 AS w, 768 AS h, array(named_struct('x1', 0, 'y1', 5, 'x2', 20, 'y2', 9)) AS boxes UNION ALL SELECT 1024, 768, NULL UNION ALL SELECT 1024, 768, array()")
+    cut = rows.select(G.edge_crop(F.col("w"), F.col("h"), F.col("boxes")).alias("c")).select("c.left", "c.top", "c.right", "c.bottom", "c.modified")
+    assert [tuple(r) for r in cut.collect()] == [(0, 9, 1024, 768, True), (0, 0, 1024, 768, False), (0, 0, 1024, 768, False)]
+    plan = rows.repartition(2).select(G.edge_crop(F.col("w"), F.col("h"), F.col("boxes")).alias("c")).select("c.left", "c.right", "c.bottom")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(boxes") == 1
