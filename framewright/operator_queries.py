@@ -17,6 +17,7 @@ from framewright.nodes import (
 )
 from framewright.operators.decisions import import_decisions
 from framewright.queries import _IMAGE, THRESHOLD, _vectors, query
+from framewright.sources.files import list_files, read_files, spread
 from framewright.sources.memo import MemoStore, latest
 from framewright.storage import filesystem, new_path
 from framewright.streaming.ingest import ingest
@@ -93,7 +94,8 @@ def save_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.images(spark, sf_dir).withColumn("caption", F.when(F.col("_pos") % 5 > 0, F.concat(F.lit("picture "), F.col("_pos").cast("string"))).otherwise(""))
     folder = new_path(spark, "saved")
     ran(spark, rows, lambda: Save(folder, sidecars=False, index=False))
-    files = spark.read.format("binaryFile").load(folder)
+    names = list_files(spark, folder)
+    files = read_files(spread(names, names.count()), "path", content=True)
     return files.select(F.substring_index("path", "/", -1).alias("file"), F.decode("content", "UTF-8").alias("caption"))
 
 
