@@ -3,7 +3,7 @@ multiplications is fixed, so results agree to the pixel with the same SQL elsewh
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ def _whole(c: Column) -> Column:
     return F.floor(c).cast("int")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once, however often f reads it; as plain columns it would be copied to each place."""
+    return F.transform(F.array(value), f)[0]
+
+
 def nearest_ratio(width: Column, height: Column, ratios: Iterable[float]) -> Column:
     """The ratio nearest to width / height, the smaller of two as near."""
     own = _d(width) / F.nullif(_d(height), F.lit(0.0))
@@ -78,21 +83,23 @@ def edge_crop(width: Column, height: Column, boxes: Column, max_share: float = 0
         inside = ((x1 <= mx) & (x2 <= mx)) | ((x1 >= width - mx) & (x2 >= width - mx)) | ((y1 <= my) & (y2 <= my)) | ((y1 >= height - my) & (y2 >= height - my))
         return near & inside
 
-    kept = F.filter(boxes, counts)
-    depth = lambda test, size: F.array_max(F.transform(F.filter(kept, test), size))
-    left = depth(lambda b: i(b, "x1") <= mx, lambda b: i(b, "x2"))
-    right = depth(lambda b: i(b, "x2") >= width - mx, lambda b: width - i(b, "x1"))
-    top = depth(lambda b: i(b, "y1") <= my, lambda b: i(b, "y2"))
-    bottom = depth(lambda b: i(b, "y2") >= height - my, lambda b: height - i(b, "y1"))
-    votes = F.array(*(F.when(c.isNotNull(), F.struct(c.alias("size"), F.lit(k).alias("edge"))) for k, c in enumerate((left, right, top, bottom))))
-    best = F.array_min(votes)
-    size, edge = best["size"], F.coalesce(best["edge"], F.lit(-1))
-    zero = F.lit(0)
-    return F.struct(
-        F.when(edge == 0, size).otherwise(zero).alias("left"), F.when(edge == 2, size).otherwise(zero).alias("top"),
-        F.when(edge == 1, width - size).otherwise(width).alias("right"), F.when(edge == 3, height - size).otherwise(height).alias("bottom"),
-        best.isNotNull().alias("modified"),
-    )
+    def depths(kept: Column) -> Column:
+        depth = lambda test, size: F.array_max(F.transform(F.filter(kept, test), size))
+        left = depth(lambda b: i(b, "x1") <= mx, lambda b: i(b, "x2"))
+        right = depth(lambda b: i(b, "x2") >= width - mx, lambda b: width - i(b, "x1"))
+        top = depth(lambda b: i(b, "y1") <= my, lambda b: i(b, "y2"))
+        bottom = depth(lambda b: i(b, "y2") >= height - my, lambda b: height - i(b, "y1"))
+        return F.array_min(F.transform(F.array(*(F.struct(c.alias("size"), F.lit(k).alias("edge")) for k, c in enumerate((left, right, top, bottom)))), lambda v: F.when(v["size"].isNotNull(), v)))
+
+    def cut(best: Column) -> Column:
+        size, edge, zero = best["size"], F.coalesce(best["edge"], F.lit(-1)), F.lit(0)
+        return F.struct(
+            F.when(edge == 0, size).otherwise(zero).alias("left"), F.when(edge == 2, size).otherwise(zero).alias("top"),
+            F.when(edge == 1, width - size).otherwise(width).alias("right"), F.when(edge == 3, height - size).otherwise(height).alias("bottom"),
+            best.isNotNull().alias("modified"),
+        )
+
+    return once(once(F.filter(boxes, counts), depths), cut)
 
 
 def scale_box(box: Column, scale: float, width: Column, height: Column) -> Column:
