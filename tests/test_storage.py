@@ -281,3 +281,28 @@ def test_no_process_names_all_files(spark, tmp_path):
     assert logs and not any(".png" in x for x in logs)
     with pytest.raises(FileNotFoundError):
         list_images(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize(("threshold", "strict"), [(0.4, True), (0.95, False)])
+def test_scan_of_all_pairs(spark, monkeypatch, threshold, strict):
+    """Every pair is met once, through few coordinates or all, and copies count; the edges are fewer than the pairs."""
+    from framewright import scan
+    from framewright.scan import near_links, plan_turn
+
+    if threshold > 0.9:
+        monkeypatch.setattr(scan, "WHOLE", 1.0)  # few vectors, many of them near
+
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((50, 40))[np.arange(300) % 50] + 0.16 * rng.standard_normal((300, 40))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert (plan_turn(u.astype(np.float32), threshold) is None) == (threshold == 0.4)
+    near = (u @ u.T > threshold) & ~np.eye(300, dtype=bool)
+    copies = np.arange(300) % 3 + 1
+    kinds = spark.createDataFrame([(k, int(copies[k]), m[k].tolist()) for k in range(300)], "kind long, copies long, v array<double>")
+    edges, links = near_links(kinds, 300, 40, threshold, strict, least=20)
+    assert {r.kind: r.near for r in links.collect()} == {k: int(n) for k, n in enumerate(near @ copies) if n}
+    pairs = [(r.a, r.b) for r in edges.collect()]
+    assert 100 <= len(pairs) < near.sum() / 2
+    roots = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    i, j = np.nonzero(near)
+    assert all(roots[a] == roots[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
