@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -17,7 +18,7 @@ def memo_key(scope: str, *segments: Any) -> str:
 
 def quoted(value: Column) -> Column:
     """A string column as JSON. Non-ASCII characters stay as they are."""
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r'(["\\])', r"\\$1"), "\n", r"\\n"), "\t", r"\\t"), F.lit('"'))
+    return F.concat(F.lit('"'), reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")), value), F.lit('"'))
 
 
 def memo_key_column(scope: str, *segments: Any) -> Column:

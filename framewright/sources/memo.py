@@ -40,10 +40,11 @@ def _regex(pattern: str) -> str:
 def lookup(rows: DataFrame, entries: DataFrame, key: Column, domain: str | None = None, kind: str = "string", target: str = "value") -> DataFrame:
     """Rows with ``target``, the memoised value, and ``_cached``, whether there is an entry, be its value null.
 
-    Without a domain an entry of any domain counts, the last of them; of several at one moment that of the greatest domain.
+    Without a domain an entry of any domain counts, the last of them; of several at one moment that of the greatest domain. The entries may
+    be all that were put or those in force, which give the same.
     """
     own = entries if domain is None else entries.filter(F.col("domain") == domain)
-    values = own.groupBy(F.col("key").alias("_key")).agg(F.max_by(F.struct("value", "present"), F.struct("updated_at", "domain")).alias("_hit"))
+    values = own.groupBy(F.col("key").alias("_key")).agg(F.max_by(F.struct("value", "present"), F.struct("updated_at", "domain", (~F.col("present")).alias("none"), "value")).alias("_hit"))
     joined = rows.withColumn("_key", key).join(values, "_key", "left")
     value = F.when(F.col("_hit.present"), F.col("_hit.value"))
     value = value if kind == "string" else F.from_json(value, kind) if kind.startswith(("array", "struct", "map")) else value.try_cast(kind)
@@ -85,11 +86,15 @@ class MemoStore:
 
     def entries(self, scope: str | None = None) -> DataFrame:
         """All entries in force, or those of one scope, the folders of which alone are read."""
+        return latest(self._all(scope)) if self._parts() else self._all(scope)
+
+    def _all(self, scope: str | None = None) -> DataFrame:
+        """All entries that were put."""
         parts = self._parts()
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
         everything = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*parts)
-        return latest(everything if scope is None else everything.filter(F.col("scope") == scope))
+        return everything if scope is None else everything.filter(F.col("scope") == scope)
 
     def put(self, rows: DataFrame) -> None:
         """Append rows (key, domain, value); the last to be put counts. Null values are kept as such."""
@@ -157,14 +162,14 @@ class MemoStore:
         are used, so a lost executor or a second action calls no model again; with nothing missing no model is loaded. Of a
         scope, that of all the keys, only its own folders are read.
         """
-        found = lookup(rows, self.entries(scope), key, domain, kind, target)
+        found = lookup(rows, self._all(scope), key, domain, kind, target)
         lacking = found.filter(~F.col("_cached")).drop(target, "_cached") if self._has(scope) else rows
         if not lacking.isEmpty():  # of rows, as their keys need a pass over all to tell apart
             misses = lacking.withColumn("_key", key).dropDuplicates(["_key"])
             self.put(work(misses).select(F.col("_key").alias("key"), F.lit(domain).cast("string").alias("domain"), "value"))
-            found = lookup(rows, self.entries(scope), key, domain, kind, target)
+            found = lookup(rows, self._all(scope), key, domain, kind, target)
         return found.drop("_cached")
 
     def _has(self, scope: str | None) -> bool:
         """Whether there may be entries, of the scope or of any."""
-        return any(scope is None or exists(self.spark, f"{p}/scope={scope}") for p in self._parts())
+        return any(scope is None or not re.fullmatch(r"[A-Za-z0-9._-]+", scope) or exists(self.spark, f"{p}/scope={scope}") for p in self._parts())
